@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
+from .leaks import leaked_items
 from .multiselect import clean_scores, day_summaries, from_summaries, multi_select
 from .overlap import cross_split_pairs, overlap_fractions
 from .runs import LOOKALIKES, collapse_runs, level_of
@@ -77,7 +78,22 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encode_corpus(table(spark, d, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_events, p4_found, p4_per_split, p4_fractions, p5_percentiles, p5_daily, p5_from_days, p7_ids)}
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d).select("item_id", "doc_id")
+
+
+def p8_per_item(spark: SparkSession, d: str) -> DataFrame:
+    """Per evaluation item: the number of documents that leak it, and the longest row of its words in any."""
+    items = table(spark, d, "eval_items").select("item_id", "suite").where("item_id IS NOT NULL").dropDuplicates(["item_id"])
+    per = _leaks(spark, d).groupBy("item_id").agg(F.count("*").alias("n"), F.max("n_words").alias("most"))
+    return items.join(per, "item_id", "left").select("item_id", "suite", F.coalesce("n", F.lit(0)).alias("n_documents"), F.coalesce("most", F.lit(0)).alias("longest_words"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_events, p4_found, p4_per_split, p4_fractions, p5_percentiles, p5_daily, p5_from_days, p7_ids, p8_found, p8_per_item)}
 
 _FROM, _TO = "".join(LOOKALIKES), "".join(LOOKALIKES.values())
 _RUNS = f"""
