@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
+from .abuse import abuse_scores
 from .leaks import leaked_items
 from .multiselect import clean_scores, day_summaries, from_summaries, multi_select
 from .overlap import cross_split_pairs, overlap_fractions
@@ -93,7 +94,21 @@ def p8_per_item(spark: SparkSession, d: str) -> DataFrame:
     return items.join(per, "item_id", "left").select("item_id", "suite", F.coalesce("n", F.lit(0)).alias("n_documents"), F.coalesce("most", F.lit(0)).alias("longest_words"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_events, p4_found, p4_per_split, p4_fractions, p5_percentiles, p5_daily, p5_from_days, p7_ids, p8_found, p8_per_item)}
+def p9_scores(spark: SparkSession, d: str) -> DataFrame:
+    return abuse_scores(table(spark, d, "documents"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return p9_scores(spark, d).where("score >= 0.5").select("doc_id")
+
+
+def p9_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Per source: documents, abusive ones, their share and the mean score."""
+    abusive = F.count_if(F.col("score") >= 0.5)
+    return p9_scores(spark, d).groupBy("source").agg(F.count("*").alias("n_documents"), abusive.alias("n_abusive"), (abusive / F.count("*")).alias("rate"), F.avg("score").alias("mean_score"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_events, p4_found, p4_per_split, p4_fractions, p5_percentiles, p5_daily, p5_from_days, p7_ids, p8_found, p8_per_item, p9_scores, p9_found, p9_rates)}
 
 _FROM, _TO = "".join(LOOKALIKES), "".join(LOOKALIKES.values())
 _RUNS = f"""
