@@ -24,11 +24,17 @@ from .textnorm import fold
 SENTENCE = re.compile(r"(?<=[.!?…;])\s+|[\r\n]+|\s[-–|]\s|, (?=i |you |we |the only|a plant|typical |never |send |get )")
 SPACED = re.compile(r"(?<![a-z0-9])(?:[a-z0-9@$#*][.\-_*]){2,}[a-z0-9@$#*](?![a-z0-9])|(?<![a-z0-9])(?:[a-z0-9@$] ){3,}[a-z0-9@$](?![a-z0-9])")
 WORD = re.compile(r"[a-z0-9@$#*_!|+\-]*[a-z0-9@$#*][a-z0-9@$#*_!|+\-]*")
+NUMBER = re.compile(r"(?<![a-z0-9$@])\d[\d.,:/]*(?![a-z0-9$@])")
+UNIT = re.compile(r"\b[a-z]{2}-\d{3}[a-z]\b|\bsensor_\d+\b")
 LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "l", "+": "t"})
 RUN = re.compile(r"(.)\1{2,}")
 JUNK = re.compile(r"[^a-z]+")
 
 
+#: Different segments that a task keeps what it found of.
+REMEMBERED = 300_000
+
+
 class Tagger:
     """Maps words, however disguised, to the tags of the lexicon."""
 
@@ -96,14 +102,15 @@ class Tagger:
 
 
 def segments(text: str, longest: int = 18, step: int = 9) -> list[str]:
-    """The folded text's sentences; longer ones in windows of `longest` words, each `step` words on."""
+    """The folded text's sentences, numbers and tags as one; longer ones in windows of `longest` words, each `step`
+    words on."""
     out = []
     for s in SENTENCE.split(SPACED.sub(lambda m: re.sub(r"[ .\-_*]", "", m.group()), fold(text))):
         if not s or s.isspace():
             continue
-        words = s.split()
+        words = NUMBER.sub("0", UNIT.sub("sensor", s)).split()
         if len(words) <= longest:
-            out.append(s.strip())
+            out.append(" ".join(words))
         else:
             out += [" ".join(words[i : i + longest]) for i in range(0, max(len(words) - longest + step, 1), step)]
     return out
@@ -186,9 +193,12 @@ def features(tagged: str, bits: int = 18) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh32_intdigest(x) & mask for x in names), np.int64, len(names)))
 
 
-def train_linear(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, bits: int = 18, epochs: int = 12, rate: float = 0.15, decay: float = 2e-5, seed: int = 7) -> tuple[np.ndarray, float]:
-    """Logistic regression on soft labels by mini-batches with per-weight rates (AdaGrad)."""
-    w, g2, b = np.zeros(1 << bits), np.full(1 << bits, 1e-6), 0.0
+def train_linear(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, bits: int = 18, epochs: int = 12, rate: float = 0.15, decay: float = 2e-5, bias: float = -2.0, seed: int = 7) -> tuple[np.ndarray, float]:
+    """Logistic regression on soft labels by mini-batches with per-weight rates (AdaGrad).
+
+    The bias isn't learnt: a segment of which no word was seen in training is to come out harmless.
+    """
+    w, g2 = np.zeros(1 << bits), np.full(1 << bits, 1e-6)
     rng = np.random.default_rng(seed)
     sizes = np.array([len(r) for r in rows])
     for _ in range(epochs):
@@ -197,15 +207,14 @@ def train_linear(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray
             batch = order[at : at + 256]
             flat = np.concatenate([rows[i] for i in batch]) if len(batch) else np.zeros(0, np.int64)
             owner = np.repeat(np.arange(len(batch)), sizes[batch])
-            z = np.bincount(owner, w[flat], len(batch)) + b
+            z = np.bincount(owner, w[flat], len(batch)) + bias
             error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[batch]) * weights[batch]
             g = np.bincount(flat, error[owner], 1 << bits)
             at_ = np.unique(flat)
             step = g[at_] + decay * len(batch) * w[at_]
             g2[at_] += step**2
             w[at_] -= rate * step / np.sqrt(g2[at_])
-            b -= 0.02 * error.sum() / max(len(batch), 1) * 5
-    return w, b
+    return w, bias
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
@@ -218,7 +227,7 @@ def abuse_scores(documents: DataFrame, text: str = "text", key: str = "doc_id",
 
     Votes are counted and documents scored whole and over all rows. `train_segments` bounds the labelled sample that
     the classifier is trained on: up to half from segments on which an accusing voter fires, the rest from all others,
-    each picked by a hash of the segment. Null, empty and blank texts score 0. Repeated rows are scored each. An empty
+    each picked by a hash of its document, place and words. Null, empty and blank texts score 0. Repeated rows are scored each. An empty
     table gives no rows. Without any accused segment in the corpus all scores are 0.
     """
     spark = documents.sparkSession
@@ -227,11 +236,15 @@ def abuse_scores(documents: DataFrame, text: str = "text", key: str = "doc_id",
     accusing = sum(1 << j for j, h in enumerate(voters.harmless) if not h)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tagger, voters, seen = Tagger(), Voters(), {}
+        tagger, voters, seen, known = Tagger(), Voters(), {}, {}
         for _, texts in _texts(batches):
             for t in texts:
                 for s in segments(t) if t else ():
-                    p = voters.pattern(tagger.tagged(s))
+                    p = known.get(s)
+                    if p is None:
+                        p = voters.pattern(tagger.tagged(s))
+                        if len(known) < REMEMBERED:
+                            known[s] = p
                     seen[p] = seen.get(p, 0) + 1
         yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.int64()), pa.array(seen.values(), pa.int64())], names=["pattern", "n"])
 
@@ -247,25 +260,30 @@ def abuse_scores(documents: DataFrame, text: str = "text", key: str = "doc_id",
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        tagger, voters = Tagger(), Voters()
-        for _, texts in _texts(batches):
-            got, votes = [], []
-            for t in texts:
-                for s in segments(t) if t else ():
-                    draw = xxhash.xxh32_intdigest(s) / 2**32
-                    if draw >= max(share):
+        tagger, voters, known = Tagger(), Voters(), {}
+        for ids, texts in _texts(batches):
+            draws, got, votes = [], [], []
+            for i, t in zip(ids, texts, strict=True):
+                for k, s in enumerate(segments(t) if t else ()):
+                    draw = xxhash.xxh64_intdigest(f"{i} {k} {s}")
+                    if draw >= max(share) * 2**64:
                         continue
-                    tagged = tagger.tagged(s)
-                    p = voters.pattern(tagged)
-                    if draw < share[bool(p & accusing)]:
-                        got.append(features(tagged, bits))
-                        votes.append(p)
-            yield pa.RecordBatch.from_arrays([pa.array(votes, pa.int64()), pa.array(got, pa.list_(pa.int64()))], names=["pattern", "at"])
-
-    sample = docs.mapInArrow(pick, "pattern long, at array<long>").toArrow().combine_chunks()
+                    found = known.get(s)
+                    if found is None:
+                        found = tagger.tagged(s)
+                        found = (voters.pattern(found), found)
+                        if len(known) < REMEMBERED:
+                            known[s] = found
+                    if draw < share[bool(found[0] & accusing)] * 2**64:
+                        draws.append(draw - 2**63)
+                        got.append(features(found[1], bits))
+                        votes.append(found[0])
+            yield pa.RecordBatch.from_arrays([pa.array(draws, pa.int64()), pa.array(votes, pa.int64()), pa.array(got, pa.list_(pa.int64()))], names=["draw", "pattern", "at"])
+
+    sample = docs.mapInArrow(pick, "draw long, pattern long, at array<long>").dropDuplicates(["draw"]).toArrow().combine_chunks()
     votes = sample["pattern"].to_numpy()
     rows = [np.asarray(x.values, np.int64) for x in sample["at"].combine_chunks()]
-    order = sorted(range(len(rows)), key=lambda i: (votes[i], len(rows[i]), rows[i].tobytes()))  # the same at any partitioning
+    order = np.argsort(sample["draw"].to_numpy())  # the same at any partitioning
     rows, votes = [rows[i] for i in order], votes[order]
     labels = model.posterior(bits_of(votes, len(voters.names)).astype(float))
     weights, bias = train_linear(rows, labels, np.ones(len(rows)), bits)
@@ -275,9 +293,18 @@ def abuse_scores(documents: DataFrame, text: str = "text", key: str = "doc_id",
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, b = shared.value
-        tagger = Tagger()
+        tagger, known = Tagger(), {}
+
+        def weigh(s: str) -> float:
+            z = known.get(s)
+            if z is None:
+                z = float(w[features(tagger.tagged(s), bits)].sum())
+                if len(known) < REMEMBERED:
+                    known[s] = z
+            return z
+
         for batch in batches:
-            out = [max((float(w[features(tagger.tagged(s), bits)].sum()) for s in segments(t)), default=None) if t else None for t in batch.column(0).to_pylist()]
+            out = [max(map(weigh, segments(t)), default=None) if t else None for t in batch.column(0).to_pylist()]
             scores = pa.array([0.0 if z is None else 1 / (1 + np.exp(-np.clip(z + b, -30, 30))) for z in out], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], scores], names=["doc_id", *(f.name for f in extra), "score"])
 

@@ -14,6 +14,7 @@ LATIN_LOOKALIKES = str.maketrans(
     }
 )
 TAG = re.compile(r"</?[A-Za-z][^<>]{0,200}>")
+COMBINING = re.compile("[\u0300-\u036f\u0483-\u0489\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\u3099\u309a\ufe20-\ufe2f]")
 NOT_WORD = re.compile(r"[\W_]+")
 INVISIBLE = re.compile("[­​-‏ -‮⁠-⁤︀-️﻿]")
 
@@ -26,7 +27,7 @@ def fold(text: str) -> str:
         return text.lower()
     text = INVISIBLE.sub("", text)
     text = unicodedata.normalize("NFKD", text).lower().translate(LATIN_LOOKALIKES)
-    return "".join(c for c in text if not unicodedata.combining(c))
+    return COMBINING.sub("", text)
 
 
 def letters(text: str) -> str:
