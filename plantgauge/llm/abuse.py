@@ -193,7 +193,7 @@ def features(tagged: str, bits: int = 18) -> np.ndarray:
     return np.unique(np.fromiter((xxhash.xxh32_intdigest(x) & mask for x in names), np.int64, len(names)))
 
 
-def train_linear(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, bits: int = 18, epochs: int = 12, rate: float = 0.15, decay: float = 2e-5, bias: float = -2.0, seed: int = 7) -> tuple[np.ndarray, float]:
+def train_linear(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, bits: int = 18, epochs: int = 12, least_steps: int = 1500, rate: float = 0.15, decay: float = 2e-5, bias: float = -2.0, seed: int = 7) -> tuple[np.ndarray, float]:
     """Logistic regression on soft labels by mini-batches with per-weight rates (AdaGrad).
 
     The bias isn't learnt: a segment of which no word was seen in training is to come out harmless.
@@ -201,7 +201,8 @@ def train_linear(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray
     w, g2 = np.zeros(1 << bits), np.full(1 << bits, 1e-6)
     rng = np.random.default_rng(seed)
     sizes = np.array([len(r) for r in rows])
-    for _ in range(epochs):
+    # a small corpus takes more passes, so that the weights get as far as on a large one
+    for _ in range(max(epochs, -(-least_steps * 256 // max(len(rows), 1)))):
         order = rng.permutation(len(rows))
         for at in range(0, len(order), 256):
             batch = order[at : at + 256]
