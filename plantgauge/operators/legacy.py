@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranks import exact_percentiles
 from ..functions.stats import t_two_sided
 from .spikes import robust_scale, wavelet_details
 from .windows import KEY
@@ -49,7 +50,7 @@ def correlation_change(rows: DataFrame, sensors: list[str], hours: int = 12, tim
 
 def time_holdout(rows: DataFrame, share: float = 0.8, time: str = "us", key: str = KEY) -> DataFrame:
     """`rows` with held_out: those after the linear time quantile `share` of their key."""
-    cut = rows.groupBy(F.col(key).alias("_key")).agg(F.percentile(time, share).alias("_cut"))
+    cut = exact_percentiles(rows, [key], time, {"_cut": share}).select(F.col(key).alias("_key"), "_cut")
     return rows.join(cut, F.col(key).eqNullSafe(F.col("_key"))).withColumn("held_out", F.col(time) > F.col("_cut")).drop("_key", "_cut")
 
 

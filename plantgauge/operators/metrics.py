@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ranks import cumulative, exact_percentiles
 from .alerts import persistent_alarm, runs
 
 
@@ -26,12 +27,10 @@ def pointwise(rows: DataFrame, keys: list[str], truth: Column, flagged: Column,
 
 
 def _by_score(rows: DataFrame, keys: list[str], score: str, truth: Column) -> DataFrame:
-    """Per distinct score the positives and negatives, and their counts at or above it. Ties are one row; a hot key
-    meets as many rows as it has distinct scores."""
+    """Per distinct score the positives and negatives, and their counts at or above it. Ties are one row."""
     grouped = rows.where(F.col(score).isNotNull() & ~F.isnan(score)).groupBy(*keys, F.col(score).alias("_s")).agg(F.count_if(truth).alias("_p"), F.count_if(~truth).alias("_n"))
-    order = Window.partitionBy(*keys).orderBy(F.col("_s").desc())
-    whole = Window.partitionBy(*keys)
-    return grouped.select(*keys, "_s", "_p", "_n", F.sum("_p").over(order).alias("_tp"), F.sum("_n").over(order).alias("_fp"), F.sum("_p").over(whole).alias("_pos"), F.sum("_n").over(whole).alias("_neg"))
+    s = cumulative(grouped, keys, "_s", ["_p", "_n"], descending=True)
+    return s.select(*keys, "_s", "_p", "_n", F.col("_p_upto").alias("_tp"), F.col("_n_upto").alias("_fp"), F.col("_p_all").alias("_pos"), F.col("_n_all").alias("_neg"))
 
 
 def average_precision(rows: DataFrame, keys: list[str], score: str, truth: Column) -> DataFrame:
@@ -50,9 +49,8 @@ def roc_auc(rows: DataFrame, keys: list[str], score: str, truth: Column) -> Data
 
 def average_rank(rows: DataFrame, keys: list[str], column: str, name: str) -> DataFrame:
     """`rows` with the 1-based rank of a column, ties sharing their mean: counted per distinct value, then joined."""
-    counts = rows.groupBy(*keys, F.col(column).alias("_v")).agg(F.count("*").alias("_c"))
-    upto = F.sum("_c").over(Window.partitionBy(*keys).orderBy("_v"))
-    ranks = counts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_v", (upto - (F.col("_c") - 1) / 2.0).alias(name))
+    counts = cumulative(rows.groupBy(*keys, F.col(column).alias("_v")).agg(F.count("*").alias("_c")), keys, "_v", ["_c"])
+    ranks = counts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_v", (F.col("_c_upto") - (F.col("_c") - 1) / 2.0).alias(name))
     on = F.col(column) == F.col("_v")
     for i, k in enumerate(keys):
         on = on & F.col(k).eqNullSafe(F.col(f"_k{i}"))
@@ -69,9 +67,7 @@ def spearman(rows: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
 
 def score_percentiles(rows: DataFrame, keys: list[str], score: str) -> DataFrame:
     """(<keys>, n, p50, p90, p95, p99, p100), linear."""
-    q = F.percentile(score, F.array(*[F.lit(x) for x in (0.5, 0.9, 0.95, 0.99, 1.0)]))
-    out = rows.where(F.col(score).isNotNull() & ~F.isnan(score)).groupBy(*keys).agg(F.count("*").alias("n"), q.alias("_q"))
-    return out.select(*keys, "n", *[F.col("_q")[i].alias(n) for i, n in enumerate(("p50", "p90", "p95", "p99", "p100"))])
+    return exact_percentiles(rows, keys, score, {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99, "p100": 1.0})
 
 
 def zone_shares(rows: DataFrame, keys: list[str], zone: str = "zone") -> DataFrame:

@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranks import exact_percentiles
 from ..functions.stats import chi2_quantile
 from .windows import KEY
 
@@ -29,25 +30,34 @@ def vectors(means: DataFrame, sensors: list[str], key: str = KEY) -> DataFrame:
 def moments(rows: DataFrame, key: str = KEY) -> DataFrame:
     """(key, n, mean array<double>, cov array<double>): sample covariance, row by row, summed map-side.
 
-    Each batch adds up its part about the batch's own mean; the parts are combined exactly.
+    Each batch adds up its part about the batch's own mean; a partition combines its batches, and the partitions'
+    parts (one row each per key) are combined exactly.
     """
 
+    def add(a: tuple, b: tuple) -> tuple:
+        d = b[1] - a[1]
+        n = a[0] + b[0]
+        return n, a[1] + d * (b[0] / n), a[2] + b[2] + np.outer(d, d).ravel() * (a[0] * b[0] / n)
+
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict = {}
         for b in batches:
             for k, g in b.groupby(key, sort=False, dropna=False):
                 x = np.stack(g["x"].to_numpy())
                 mean = x.mean(0)
-                yield pd.DataFrame({key: [k], "n": [len(x)], "mean": [mean], "scatter": [((x - mean).T @ (x - mean)).ravel()]})
+                one = (len(x), mean, ((x - mean).T @ (x - mean)).ravel())
+                held[k] = add(held[k], one) if k in held else one
+            if len(held) > 2000:
+                yield pd.DataFrame([(k, *v) for k, v in held.items()], columns=[key, "n", "mean", "scatter"])
+                held = {}
+        if held:
+            yield pd.DataFrame([(k, *v) for k, v in held.items()], columns=[key, "n", "mean", "scatter"])
 
     def whole(g: pd.DataFrame) -> pd.DataFrame:
-        n, mean, scatter = 0, 0.0, 0.0
+        n, mean, scatter = None, None, None
         for r in g.itertuples():
-            m, s = np.asarray(r.mean), np.asarray(r.scatter)
-            d = m - mean
-            total = n + r.n
-            scatter = scatter + s + np.outer(d, d).ravel() * (n * r.n / total if n else 0.0)
-            mean = mean + d * (r.n / total)
-            n = total
+            one = (r.n, np.asarray(r.mean), np.asarray(r.scatter))
+            n, mean, scatter = one if n is None else add((n, mean, scatter), one)
         return pd.DataFrame({key: [g[key].iloc[0]], "n": [n], "mean": [mean], "cov": [scatter / max(n - 1, 1)]})
 
     kind = rows.schema[key].dataType.simpleString()
@@ -199,7 +209,7 @@ def isolation_outliers(rows: DataFrame, contamination: float = 0.05, trees: int
     a = rows.withColumn("_salt", F.pmod(F.xxhash64("window_id"), F.lit(salts)))
     b = model.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     scored = a.groupBy(key, "_salt").cogroup(b.groupBy(key, "_salt")).applyInPandas(score, f"{key} {kind}, window_id long, score double")
-    cut = scored.groupBy(F.col(key).alias("_key")).agg(F.percentile("score", 1 - contamination).alias("_cut"))
+    cut = exact_percentiles(scored, [key], "score", {"_cut": 1 - contamination}).select(F.col(key).alias("_key"), "_cut")
     return scored.join(cut, F.col(key).eqNullSafe(F.col("_key"))).select(key, "window_id", "score", (F.col("score") > F.col("_cut")).alias("outlier"))
 
 
@@ -257,7 +267,7 @@ def ledoit_wolf(x: np.ndarray) -> tuple[np.ndarray, float]:
 
 def trimmed(rows: DataFrame, error: str, pct: float, key: str = KEY) -> DataFrame:
     """`rows` without the worst `pct` percent by error."""
-    cut = rows.groupBy(F.col(key).alias("_key")).agg(F.percentile(error, 1 - pct / 100).alias("_cut"))
+    cut = exact_percentiles(rows, [key], error, {"_cut": 1 - pct / 100}).select(F.col(key).alias("_key"), "_cut")
     return rows.join(cut, F.col(key).eqNullSafe(F.col("_key"))).where(F.col(error) <= F.col("_cut")).drop("_key", "_cut")
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ranks import cumulative, exact_percentiles
 from ..functions.stats import ks_p_value, t_two_sided
 
 
@@ -41,12 +42,11 @@ def trend_test(trend: DataFrame, days: int = 7, significance: float = 0.05) -> D
 
 def ks_statistic(rows: DataFrame, keys: list[str], value: str, recent: Column) -> DataFrame:
     """(<keys>, n_base, n_recent, ks): largest distance of the two samples' distribution functions; null if either is
-    empty. A key meets one row per distinct value."""
+    empty."""
     counts = rows.where(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(*keys, F.col(value).alias("_v")).agg(F.count_if(~recent).alias("_a"), F.count_if(recent).alias("_b"))
-    order, whole = Window.partitionBy(*keys).orderBy("_v"), Window.partitionBy(*keys)
-    shares = counts.select(*keys, F.sum("_a").over(order).alias("_ca"), F.sum("_b").over(order).alias("_cb"), F.sum("_a").over(whole).alias("_na"), F.sum("_b").over(whole).alias("_nb"))
-    gap = F.abs(F.col("_ca") / F.nullif(F.col("_na"), F.lit(0)) - F.col("_cb") / F.nullif(F.col("_nb"), F.lit(0)))
-    return shares.groupBy(*keys).agg(F.max("_na").alias("n_base"), F.max("_nb").alias("n_recent"), F.max(gap).alias("ks"))
+    shares = cumulative(counts, keys, "_v", ["_a", "_b"])
+    gap = F.abs(F.col("_a_upto") / F.nullif(F.col("_a_all"), F.lit(0)) - F.col("_b_upto") / F.nullif(F.col("_b_all"), F.lit(0)))
+    return shares.groupBy(*keys).agg(F.max("_a_all").alias("n_base"), F.max("_b_all").alias("n_recent"), F.max(gap).alias("ks"))
 
 
 def ks_test(statistic: DataFrame, significance: float = 0.01) -> DataFrame:
@@ -67,7 +67,7 @@ def retrain_check(rows: DataFrame, keys: list[str], start: str, score: str, rece
     trend = trend_test(rolling_trend(daily_errors(rows, keys, start, score), keys)).select(*keys, (F.col("is_increasing") & (F.col("n_days") >= weeks * 7)).alias("trend_hit"))
     drift = ks_test(ks_statistic(rows, keys, score, recent), significance).select(*keys, F.col("is_drifted").alias("drift_hit"))
     held = rows.where(F.col(score).isNotNull() & ~F.isnan(score)).withColumn("_recent", recent)
-    p90 = held.where("NOT _recent").groupBy(*keys).agg(F.percentile(score, 0.9).alias("_p90"))
+    p90 = exact_percentiles(held.where("NOT _recent"), keys, score, {"_p90": 0.9}).drop("n")
     above = (F.col(score) > F.col("_p90")).cast("int")
     rates = held.join(p90, keys).groupBy(*keys).agg(F.avg(F.when(~F.col("_recent"), above)).alias("base_rate"), F.avg(F.when(F.col("_recent"), above)).alias("recent_rate"))
     j = rates.join(trend, keys).join(drift, keys).withColumn("rate_hit", F.coalesce(F.col("recent_rate") > F.col("base_rate") * multiplier, F.lit(False)))

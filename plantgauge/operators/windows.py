@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import micros
 
@@ -25,11 +26,13 @@ def keys_of(key: str | list[str]) -> list[str]:
 def row_positions(df: DataFrame, order: str = "timestamp", tie: str = "row_id", key: str | list[str] = KEY, bucket_us: int = DAY_US) -> DataFrame:
     """`df` with row_pos, the 0-based place of each row within its key, by time and then by `tie`; and n_rows.
 
-    Rows are numbered within time buckets, and the buckets' counts are summed up in a small table, so a key of any
-    length is spread over tasks. Rows without a timestamp are left out.
+    Rows are numbered within time buckets (`order` may be a number too, in buckets of `bucket_us`), and the buckets'
+    counts are summed up in a small table, so a key of any length is spread over tasks. Rows without a timestamp are
+    left out.
     """
     keys = keys_of(key)
-    rows = df.withColumn("_us", micros(df, order)).where("_us IS NOT NULL").withColumn("_bucket", F.floor(F.col("_us") / bucket_us))
+    place = micros(df, order) if isinstance(df.schema[order].dataType, (T.TimestampType, T.TimestampNTZType)) else F.col(order).cast("long")
+    rows = df.withColumn("_us", place).where("_us IS NOT NULL").withColumn("_bucket", F.floor(F.col("_us") / bucket_us))
     counts = rows.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_bucket").alias("_b")).agg(F.count("*").alias("_n"))
     names = [f"_k{i}" for i in range(len(keys))]
     by_key = Window.partitionBy(*names)
