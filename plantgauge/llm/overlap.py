@@ -4,7 +4,7 @@ A record is normalised to cells of its values and cut into chunks in two ways. T
 content-defined chunks; those shared across splits sum up to a record's overlap fraction. A cut after a content hash
 can't promise to keep a chunk whole when any value may move by the tolerance or be null, so pairs are found with
 anchored chunks besides: the positions fall into so few groups that two records with enough positions in common share
-three in one group, and the query side looks up every cell that a value within the tolerance may lie in. No near
+four in one group, and the query side looks up every cell that a value within the tolerance may lie in. No near
 pair is missed, and every pair that meets is checked on its values.
 
 Exact copies are one class throughout; classes are expanded to records only in the result.
@@ -59,21 +59,21 @@ def content_chunks(cells: np.ndarray, there: np.ndarray, seed: int, mask: int =
     return tuple(np.concatenate([o[i] for o in out]) for i in range(3))
 
 
-def anchored_chunks(values: np.ndarray, width: float, tolerance: float, least_common: int, probe: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(row, digest) of the anchored chunks of each row (NaN where absent).
+def anchored_chunks(values: np.ndarray, width: float, tolerance: float, least_common: int, probe: bool, anchors: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """(row, digest) of the anchored chunks, of `anchors` positions each, of each row (NaN where absent).
 
     With `probe`, of every combination of cells within the tolerance of the values; else of the values' own cells.
     """
     n = values.shape[1]
-    groups = max((least_common - 1) // 2, 1)
+    groups = max((least_common - 1) // (anchors - 1), 1)
     of = np.arange(n) * groups // max(n, 1)
     reach = tolerance + SLACK if probe else 0.0
     low, high = (np.floor((values + d) / width) for d in (-reach, reach))
     out: list[tuple] = []
     with np.errstate(over="ignore", invalid="ignore"):
-        for k, three in enumerate(t for g in range(groups) for t in combinations(np.flatnonzero(of == g), 3)):
-            full = ~np.isnan(values[:, three]).any(1)
-            spans = [(low[:, p], high[:, p]) for p in three]
+        for k, chosen in enumerate(t for g in range(groups) for t in combinations(np.flatnonzero(of == g), anchors)):
+            full = ~np.isnan(values[:, chosen]).any(1)
+            spans = [(low[:, p], high[:, p]) for p in chosen]
             widest = [int(np.max(h[full] - lo[full], initial=0)) for lo, h in spans]
             for steps in product(*(range(w + 1) for w in widest)):
                 ok = full.copy()
@@ -128,9 +128,9 @@ def _digests(classes: DataFrame, width: int, cell: float, tolerance: float, leas
                 keep = np.ones(len(row), bool)
                 keep[1:] = (row[1:] != row[:-1]) | (digest[1:] != digest[:-1])
                 at = pa.array(row[keep])
-                yield pa.RecordBatch.from_arrays([pa.array(digest[keep].view(np.int64)), b.column(0).take(at), b.column(1).take(at), b.column(2).take(at)], names=["digest", "h1", "h2", "means"])
+                yield pa.RecordBatch.from_arrays([pa.array(digest[keep].view(np.int64)), b.column(0).take(at), b.column(1).take(at)], names=["digest", "h1", "h2"])
 
-    return classes.select("h1", "h2", "means").mapInArrow(cut, "digest long, h1 long, h2 long, means array<double>")
+    return classes.select("h1", "h2", "means").mapInArrow(cut, "digest long, h1 long, h2 long")
 
 
 def near(a: str, b: str, tolerance: float, least_common: int) -> str:
@@ -152,9 +152,11 @@ def cross_split_pairs(train: DataFrame, held_out: DataFrame, train_window: str =
     width = max(x or 0 for x in (d.agg(F.max(F.size("means"))).first()[0] for d in (ca, cb)))
     width = max(width, least_common)
     da = _digests(ca, width, cell, tolerance, least_common, False)
-    db = _digests(cb, width, cell, tolerance, least_common, True).select("digest", F.col("h1").alias("g1"), F.col("h2").alias("g2"), F.col("means").alias("others"))
-    # Checked in the join itself, so that only true pairs of classes go on.
-    met = da.join(db, "digest").where(near("means", "others", tolerance, least_common)).select("h1", "h2", "g1", "g2").distinct()
+    db = _digests(cb, width, cell, tolerance, least_common, True).withColumnsRenamed({"h1": "g1", "h2": "g2"})
+    # digests travel without the values; few pairs meet, and only those fetch them
+    pairs = da.join(db, "digest").select("h1", "h2", "g1", "g2").distinct()
+    others = cb.withColumnsRenamed({"h1": "g1", "h2": "g2", "means": "others"})
+    met = pairs.join(ca, ["h1", "h2"]).join(others, ["g1", "g2"]).where(near("means", "others", tolerance, least_common)).select("h1", "h2", "g1", "g2")
     member_a = a.select(F.col("record_id").alias("train_id"), "h1", "h2").distinct()
     member_b = b.select(F.col("record_id").alias("out_id"), F.col("h1").alias("g1"), F.col("h2").alias("g2")).distinct()
     by_value = met.join(member_a, ["h1", "h2"]).join(member_b, ["g1", "g2"]).select("train_id", "out_id", F.lit(2).alias("k"))
