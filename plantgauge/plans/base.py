@@ -27,8 +27,9 @@ def sensor_rows(spark: SparkSession, d: str) -> DataFrame:
     c, x = table(spark, d, "combined"), table(spark, d, "exports")
     rows = c.select("row_id", "export_id", EQ, "timestamp", micros(c, "timestamp").alias("us"), "n_active_nodes", *SENSORS).where("us IS NOT NULL")
     ranges = x.select("export_id", micros(x, "range_start").alias("r0"), micros(x, "range_end").alias("r1"))
-    inside = rows.join(ranges, "export_id").where("us >= r0 AND us < r1").drop("export_id", "r0", "r1")
-    return finite_table(inside.dropDuplicates(["row_id"]), SENSORS)
+    inside = finite_table(rows.join(ranges, "export_id").where("us >= r0 AND us < r1"), SENSORS)
+    # copies agree but for their arrival; grouped by what identifies a row, hashed and combined map-side
+    return inside.groupBy("row_id", EQ, "timestamp", "us", "n_active_nodes").agg(*[F.max(s).alias(s) for s in SENSORS])
 
 
 def window_rows(spark: SparkSession, d: str) -> DataFrame:

@@ -19,7 +19,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def micros(df: DataFrame, name: str) -> Column:
-    """Microseconds since 1970 of a timestamp column, with or without zone, whatever the session's zone."""
+    """Microseconds since 1970 of a timestamp column, with or without zone; the session's zone is to be UTC."""
     kind = df.schema[name].dataType
     if isinstance(kind, T.TimestampNTZType):
         return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{name}`)")
