@@ -62,8 +62,8 @@ def spike_marks(x: np.ndarray, times: float, floor: float, longest: int, levels:
     """Values off the local level by `times` the usual spread, in stretches of `longest` or fewer.
 
     Detail coefficients over `cut` robust scales propose stretches; a proposed value stays if it is off the running
-    median of the values that aren't proposed by `times` the standard deviation about it (all faults left out), or
-    by `floor` where the series otherwise doesn't move.
+    median of its neighbourhood by `times` the standard deviation about it (all faults left out), or by `floor` where
+    at least nine values in ten lie on it.
     """
     n = len(x)
     marks = np.zeros(n, bool)
@@ -75,18 +75,20 @@ def spike_marks(x: np.ndarray, times: float, floor: float, longest: int, levels:
     proposed |= np.convolve(proposed, np.ones(2 * longest - 1), "same") > 0
     level = running_median(x, width)
     off = np.abs(x - level)
-    bound = np.quantile(off, 0.97)
+    bound = np.quantile(off, 0.9)
     spread = float(np.sqrt(np.mean(off[off <= bound] ** 2)))
-    for _ in range(12):
-        limit = times * spread if spread > 1e-6 else floor
-        fault = proposed & (off >= limit)
-        rest = off[~fault]
-        wider = float(np.sqrt(np.mean(rest**2))) if len(rest) else 0.0
-        if abs(wider - spread) <= 1e-9:
-            break
-        spread = wider
-    limit = times * spread if spread > 1e-6 else floor
-    fault = proposed & (off >= limit)
+    if bound <= 1e-6:  # a source that normally never changes
+        fault = proposed & (off >= floor)
+    else:
+        # from too small a spread up: what is off by far more never counts towards it
+        for _ in range(12):
+            fault = proposed & (off >= times * spread)
+            rest = off[~fault]
+            wider = float(np.sqrt(np.mean(rest**2)))
+            if wider <= spread * (1 + 1e-9):
+                break
+            spread = wider
+        fault = proposed & (off >= times * spread)
     for a, b in runs_of(fault):
         # the source has to come back: the values on either side of the stretch are ordinary again
         if b - a <= longest and a > 0 and b < n:
