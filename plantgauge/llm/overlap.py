@@ -154,7 +154,8 @@ def cross_split_pairs(train: DataFrame, held_out: DataFrame, train_window: str =
     da = _digests(ca, width, cell, tolerance, least_common, False)
     db = _digests(cb, width, cell, tolerance, least_common, True).withColumnsRenamed({"h1": "g1", "h2": "g2"})
     # digests travel without the values; few pairs meet, and only those fetch them
-    pairs = da.join(db, "digest").select("h1", "h2", "g1", "g2").distinct()
+    # (a record makes many digests, which Spark's size estimate doesn't see: the join isn't to be a broadcast)
+    pairs = da.hint("merge").join(db, "digest").select("h1", "h2", "g1", "g2").distinct()
     others = cb.withColumnsRenamed({"h1": "g1", "h2": "g2", "means": "others"})
     met = pairs.join(ca, ["h1", "h2"]).join(others, ["g1", "g2"]).where(near("means", "others", tolerance, least_common)).select("h1", "h2", "g1", "g2")
     member_a = a.select(F.col("record_id").alias("train_id"), "h1", "h2").distinct()
