@@ -59,4 +59,11 @@ def small(df: DataFrame, bound: int = BROADCAST_BOUND) -> DataFrame:
     return F.broadcast(df) if estimated_bytes(df) <= bound else df
 
 
-__all__ = ["BROADCAST_BOUND", "durable", "estimated_bytes", "finite", "micros", "small", "spread", "table"]
+def spread_out(df: DataFrame) -> DataFrame:
+    """`df` over all cores, for work that costs far more than moving a row: repartitioned if a scan of few or large
+    files gives fewer partitions than there are cores, else unchanged."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(3 * cores) if df.rdd.getNumPartitions() < cores else df
+
+
+__all__ = ["BROADCAST_BOUND", "durable", "estimated_bytes", "finite", "micros", "small", "spread", "spread_out", "table"]
