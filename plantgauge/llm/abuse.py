@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread_out
 from . import lexicon
 from .textnorm import fold
 
@@ -198,24 +199,29 @@ def train_linear(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray
 
     The bias isn't learnt: a segment of which no word was seen in training is to come out harmless.
     """
-    w, g2 = np.zeros(1 << bits), np.full(1 << bits, 1e-6)
-    rng = np.random.default_rng(seed)
     sizes = np.array([len(r) for r in rows])
+    # weights of the features that occur, numbered anew
+    names, flat_all = np.unique(np.concatenate(rows) if rows else np.zeros(0, np.int64), return_inverse=True)
+    ends = np.cumsum(sizes)
+    w, g2 = np.zeros(len(names)), np.full(len(names), 1e-6)
+    rng = np.random.default_rng(seed)
     # a small corpus takes more passes, so that the weights get as far as on a large one
     for _ in range(max(epochs, -(-least_steps * 256 // max(len(rows), 1)))):
         order = rng.permutation(len(rows))
         for at in range(0, len(order), 256):
             batch = order[at : at + 256]
-            flat = np.concatenate([rows[i] for i in batch]) if len(batch) else np.zeros(0, np.int64)
-            owner = np.repeat(np.arange(len(batch)), sizes[batch])
+            n = sizes[batch]
+            owner = np.repeat(np.arange(len(batch)), n)
+            flat = flat_all[np.repeat(ends[batch] - np.cumsum(n), n) + np.arange(n.sum())]
             z = np.bincount(owner, w[flat], len(batch)) + bias
             error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels[batch]) * weights[batch]
-            g = np.bincount(flat, error[owner], 1 << bits)
-            at_ = np.unique(flat)
-            step = g[at_] + decay * len(batch) * w[at_]
-            g2[at_] += step**2
-            w[at_] -= rate * step / np.sqrt(g2[at_])
-    return w, bias
+            seen, inside = np.unique(flat, return_inverse=True)
+            step = np.bincount(inside, error[owner], len(seen)) + decay * len(batch) * w[seen]
+            g2[seen] += step**2
+            w[seen] -= rate * step / np.sqrt(g2[seen])
+    full = np.zeros(1 << bits)
+    full[names] = w
+    return full, bias
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
@@ -232,7 +238,7 @@ def abuse_scores(documents: DataFrame, text: str = "text", key: str = "doc_id",
     table gives no rows. Without any accused segment in the corpus all scores are 0.
     """
     spark = documents.sparkSession
-    docs = documents.select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    docs = spread_out(documents.select(F.col(key).alias("doc_id"), F.col(text).alias("text")))
     voters = Voters()
     accusing = sum(1 << j for j, h in enumerate(voters.harmless) if not h)
 
@@ -311,4 +317,4 @@ def abuse_scores(documents: DataFrame, text: str = "text", key: str = "doc_id",
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in extra)
     schema = f"doc_id {documents.schema[key].dataType.simpleString()}, {kinds + ', ' if kinds else ''}score double"
-    return documents.select(F.col(text), F.col(key).alias("doc_id"), *[f.name for f in extra]).mapInArrow(score, schema)
+    return spread_out(documents.select(F.col(text), F.col(key).alias("doc_id"), *[f.name for f in extra])).mapInArrow(score, schema)

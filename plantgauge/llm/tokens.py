@@ -18,6 +18,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread_out
+
 #: Fixed value: the public byte-level split pattern of the vocabulary.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -137,4 +139,4 @@ def encode_corpus(documents: DataFrame, path: str, text: str = "text", key: str
             if start < len(texts):
                 yield encoded(keys[start:], texts[start:])
 
-    return documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, ids array<int>")
+    return spread_out(documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))).mapInArrow(run, "doc_id long, ids array<int>")
