@@ -375,6 +375,51 @@ def fit_network(rows: DataFrame, sensors: list[str], split: str = "split", laten
     return net, train_network(net, *parts, **options)
 
 
+def fit_network_everywhere(rows: DataFrame, sensors: list[str], latent: int = 3, steps: int = 30, rate: float = 1e-2, decay: float = 0.0, seed: int = 42) -> tuple[Network, list[float]]:
+    """A network trained on all rows by data-parallel steps: each partition sums its gradients, and the driver adds the
+    partitions' sums (one row each) and steps. Returns the network and the loss before each step.
+    """
+    spark = rows.sparkSession
+    held = rows.dropna(subset=sensors).select(*sensors).persist()
+    net = Network(len(sensors), latent, seed=seed)
+    shapes = [p.shape for p in (*net.w, *net.b)]
+    m, v = (np.zeros(sum(int(np.prod(s)) for s in shapes)) for _ in range(2))
+    losses = []
+    try:
+        for step in range(1, steps + 1):
+            shared = spark.sparkContext.broadcast(net)
+
+            def part(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+                net, n, loss, total = shared.value, 0, 0.0, None
+                for b in batches:
+                    if b.num_rows:
+                        x = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], 1)
+                        one, gw, gb = net.gradients(x)
+                        g = np.concatenate([p.ravel() for p in (*gw, *gb)]) * len(x)
+                        n, loss, total = n + len(x), loss + one * len(x), g if total is None else total + g
+                if n:
+                    yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([loss]), pa.array([total], pa.list_(pa.float64()))], names=["n", "loss", "g"])
+
+            sums = held.mapInArrow(part, "n long, loss double, g array<double>").collect()
+            shared.unpersist()
+            if not sums:
+                break
+            n = sum(r.n for r in sums)
+            losses.append(sum(r.loss for r in sums) / n)
+            flat = np.concatenate([p.ravel() for p in (*net.w, *net.b)])
+            g = np.sum([r.g for r in sums], axis=0) / n + decay * flat
+            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+            flat -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+            at, parts = 0, []
+            for s in shapes:
+                parts.append(flat[at : at + int(np.prod(s))].reshape(s))
+                at += int(np.prod(s))
+            net.w, net.b = parts[: len(net.w)], parts[len(net.w) :]
+    finally:
+        held.unpersist()
+    return net, losses
+
+
 def network_errors(rows: DataFrame, sensors: list[str], net: Network, key: str = KEY) -> DataFrame:
     """(key, window_id, row_in_window, row_error) of the rows that hold every sensor, by Arrow batches."""
     shared = rows.sparkSession.sparkContext.broadcast(net)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .metrics import pointwise, ratio
+from .metrics import pointwise, ratio, resembling
 
 
 def node_latency(alarms: DataFrame, node_windows: DataFrame, keys: list[str], alarm: Column, before: int = 12, pos: str = "pos") -> DataFrame:
@@ -84,3 +84,33 @@ def as_of(rows: DataFrame, events: DataFrame, keys: list[str], width: int, at: s
     ahead = per.select(*keys, "_b", F.min("_lo").over(by.orderBy("_b").rowsBetween(1, Window.unboundedFollowing)).alias("_next"), F.max("_hi").over(by).alias("_end"))
     found = both.withColumn("_near", F.min("p").over(Window.partitionBy(*keys, "_b").orderBy("t", "o").rowsBetween(0, Window.unboundedFollowing)))
     return found.where("event_id IS NOT NULL").join(ahead, [*keys, "_b"]).select(*keys, "event_id", F.coalesce("_near", "_next", "_end").alias(position))
+
+
+def episode_false_alarms(episodes: DataFrame, windows: DataFrame, signatures: DataFrame, keys: list[str], threshold: float = 0.3, pos: str = "pos") -> tuple[DataFrame, DataFrame]:
+    """((<keys>, n_episodes, n_false, false_rate), (<keys>, start_window_idx, resembles_slug, jaccard)).
+
+    An episode is a false alarm if none of its windows (with pos, active and top_sensors) is active; false alarms
+    whose sensors resemble a known rule are told apart, never taken out of the rate. Episodes are spread over their
+    windows and met by an equi-join.
+    """
+    spread = episodes.select(*keys, "start_window_idx", F.explode(F.sequence("start_window_idx", "end_window_idx")).alias(pos))
+    met = spread.join(windows.select(*keys, pos, "active", "top_sensors"), [*keys, pos], "left")
+    each = met.groupBy(*keys, "start_window_idx").agg(F.max(F.coalesce("active", F.lit(False))).alias("_on"), F.array_distinct(F.flatten(F.collect_set(F.coalesce("top_sensors", F.array().cast("array<string>"))))).alias("sensors"))
+    rates = each.groupBy(*keys).agg(F.count("*").alias("n_episodes"), F.count_if(~F.col("_on")).alias("n_false")).withColumn("false_rate", ratio(F.col("n_false"), F.col("n_episodes")))
+    return rates, resembling(each.where("NOT _on").select(*keys, "start_window_idx", "sensors"), signatures, [*keys, "start_window_idx"], threshold)
+
+
+def rule_direction_quality(rows: DataFrame, direction: str, flagged: Column) -> DataFrame:
+    """(direction, n, n_flagged, recall, precision): recall within a direction's windows; precision over those and
+    the windows without any rule."""
+    f = F.coalesce(flagged, F.lit(False))
+    counts = rows.groupBy(F.col(direction).alias("direction")).agg(F.count("*").alias("n"), F.count_if(f).alias("n_flagged"))
+    none = counts.where("direction = 'none'").select(F.lit(1).alias("_one"), F.col("n_flagged").alias("_none"))
+    j = counts.where("direction <> 'none'").withColumn("_one", F.lit(1)).join(none, "_one", "left")
+    return j.select("direction", "n", "n_flagged", ratio(F.col("n_flagged"), F.col("n")).alias("recall"), ratio(F.col("n_flagged"), F.col("n_flagged") + F.coalesce("_none", F.lit(0))).alias("precision"))
+
+
+def sign_shares(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(<keys>, n, share_up, share_down) of the rows that hold a value."""
+    held = rows.where(F.col(value).isNotNull())
+    return held.groupBy(*keys).agg(F.count("*").alias("n"), F.avg((F.col(value) > 0).cast("int")).alias("share_up"), F.avg((F.col(value) < 0).cast("int")).alias("share_down"))

@@ -298,6 +298,14 @@ def test_network_learns_and_is_repeatable():
     assert gw[0][1, 2] == pytest.approx((up - down) / (2 * h), rel=1e-3, abs=1e-7)
 
 
+def test_data_parallel_training_lowers_the_loss(spark):
+    rng = np.random.default_rng(15)
+    x = rng.normal(size=(300, 2)) @ rng.normal(size=(2, 4))
+    df = spark.createDataFrame([tuple(float(v) for v in r) for r in x], "a double, b double, c double, d double").repartition(3)
+    _, losses = models.fit_network_everywhere(df, ["a", "b", "c", "d"], latent=2, steps=12, rate=0.05)
+    assert len(losses) == 12 and losses[-1] < 0.7 * losses[0]
+
+
 def test_splits(spark):
     df = spark.createDataFrame([("E", i, i % 2) for i in range(100)], "k string, window_id long, y int")
     n = {(r.y, r.split): r["count"] for r in splits.stratified_split(df, ["y"], ["window_id"], 0.7, 0.15).groupBy("y", "split").count().collect()}
