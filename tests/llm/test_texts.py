@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from plantgauge.llm.abuse import LabelModel, Tagger, Voters, abuse_scores, bits_of, fit_label_model, segments, train_linear
-from plantgauge.llm.leaks import PassageIndex, aligned, find_leaks, leaked_items, words_in_a_row
+from plantgauge.llm.leaks import PassageIndex, aligned, find_leaks, leaked_items, occurrences, words_in_a_row
 from plantgauge.llm.queries import tokenizer_path
 from plantgauge.llm.textnorm import fold, letters
 from plantgauge.llm.tokens import PairIndexEncoder, encode_corpus
@@ -104,6 +104,12 @@ def test_alignment_pieces():
     assert words_in_a_row(np.zeros(20, bool), np.arange(0, 21, 5), 0.25) == 0
 
 
+def test_counts_of_any_bound():
+    values, asked = np.array([3, 3, 9]), np.array([3, 4, 9])
+    assert occurrences(values, asked, 10).tolist() == occurrences(values, asked, 10**9).tolist() == [2, 0, 1]
+    assert occurrences(values[:0], asked, 10**9).tolist() == [0, 0, 0]
+
+
 def test_folding():
     assert fold("<b>Füß</b> &amp; ＡＢＣ​") == " fuss  & abc" or fold("<b>Füß</b> &amp; ＡＢＣ​").split() == ["fuss", "&", "abc"]
     assert letters("Sensor_05, l/min\nÉté") == "sensor05lminete"
