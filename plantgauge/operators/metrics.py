@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ranks import cumulative, exact_percentiles
+from ..session import durable
 from .alerts import persistent_alarm, runs
 
 
@@ -60,7 +61,7 @@ def average_rank(rows: DataFrame, keys: list[str], column: str, name: str) -> Da
 def spearman(rows: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
     """(<keys>, n, rho): correlation of average ranks; null below two rows or without variance."""
     held = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull() & ~F.isnan(F.col(a).cast("double")) & ~F.isnan(F.col(b).cast("double"))).select(*keys, a, b)
-    ranked = average_rank(average_rank(held, keys, a, "_ra"), keys, b, "_rb")
+    ranked = average_rank(average_rank(durable(held), keys, a, "_ra"), keys, b, "_rb")
     ok = (F.count("*") >= 2) & (F.min("_ra") < F.max("_ra")) & (F.min("_rb") < F.max("_rb"))
     return ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.when(ok, F.covar_pop("_ra", "_rb") / F.nullif(F.stddev_pop("_ra") * F.stddev_pop("_rb"), F.lit(0.0))).alias("rho"))
 

@@ -38,7 +38,7 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 def _plain(v):
     if isinstance(v, float):
-        return "nan" if math.isnan(v) else float(f"{v:.9g}") + 0.0
+        return "nan" if math.isnan(v) else (v if os.environ.get("EXACT") else float(f"{v:.9g}")) + 0.0
     if isinstance(v, (list, tuple)):
         return tuple(_plain(x) for x in v)
     if hasattr(v, "tolist"):
