@@ -148,3 +148,9 @@ pairs AS (
   UNION SELECT a.record_id, b.record_id FROM a JOIN b USING (equipment_id, win))
 """
 SQL["p4_found"] = _NEAR + "SELECT least(ra, rb) AS record_id_a, greatest(ra, rb) AS record_id_b FROM pairs"
+SQL["p4_per_split"] = (
+    _NEAR.replace("pairs AS (", "near AS (SELECT ra, rb FROM gaps WHERE len(g) >= 10 AND list_max(g) <= 0.05 + 1e-9), same AS (SELECT a.record_id AS ra, b.record_id AS rb FROM a JOIN b USING (equipment_id, win)),\npairs AS (")
+    + """, k AS (SELECT rb, count(*) AS pairs, count(*) FILTER (EXISTS (SELECT 1 FROM same s WHERE s.ra = p.ra AND s.rb = p.rb)) AS s, count(*) FILTER (EXISTS (SELECT 1 FROM near n WHERE n.ra = p.ra AND n.rb = p.rb)) AS n FROM pairs p GROUP BY rb),
+o AS (SELECT DISTINCT record_id, split, source FROM eval_windows)
+SELECT split, source, count(*) AS n_records, count(pairs) AS n_overlapping, CAST(coalesce(sum(pairs), 0) AS BIGINT) AS n_pairs, CAST(coalesce(sum(s), 0) AS BIGINT) AS n_same_window, CAST(coalesce(sum(n), 0) AS BIGINT) AS n_near_values FROM o LEFT JOIN k ON k.rb = o.record_id GROUP BY ALL"""
+)
