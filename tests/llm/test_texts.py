@@ -85,6 +85,8 @@ def test_leaks_however_disguised():
 def test_no_leaks():
     cases = [FILLER, " ".join(WORDS[:14]) + " " + FILLER, " ".join(WORDS[::-1]), "", " ".join(w if i % 3 else "other" for i, w in enumerate(WORDS)), FILLER.join(" ".join(WORDS[i : i + 9]) for i in range(0, 36, 9))]
     assert leaks(cases) == {}
+    for few in (["under the rule of"], [" ".join(WORDS[:9])], ["", ""], []):
+        assert leaks(few) == {}
 
 
 def test_leaks_of_tables(spark):
