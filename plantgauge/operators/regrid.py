@@ -17,13 +17,68 @@ from ..session import finite, micros
 OBSERVED, FILLED, MISSING = "observed", "filled", "missing"
 
 
+def _gap_groups(hole: np.ndarray, lag: int, least: int = 48) -> list[np.ndarray]:
+    """The missing places in groups that no window of `lag` slots joins, small neighbours together."""
+    at = np.flatnonzero(hole)
+    cuts = [0]
+    for end in [*np.flatnonzero(np.diff(at) >= lag) + 1, len(at)]:
+        if end == len(at) or end - cuts[-1] >= least:
+            cuts.append(int(end))
+    return [at[i:j] for i, j in zip(cuts, cuts[1:], strict=False)]
+
+
+def _ssa_row(y: np.ndarray, hole: np.ndarray, lag: int, rank: int, max_iter: int, tol: float) -> np.ndarray | None:
+    """`y` (mean 0) with the entries at `hole` replaced by the converged fill; None if it doesn't converge."""
+    n, k = len(y), len(y) - lag + 1
+    scale = max(float(y.std()), 1e-12)
+    known = np.where(hole, 0, y)
+    # the form below by diagonal and place: sums of a diagonal of `off` up to one offset less those before another
+    d, place = np.arange(lag + 1)[:, None], np.arange(n)
+    upto, before_it = d * (lag + 1) + np.clip(np.minimum(place, lag - 1 - d) + 1, 0, None), d * (lag + 1) + np.maximum(place - k + 1, 0)
+    row = np.arange(lag)
+    inside = row[:, None] + row < lag
+    diagonals = np.where(inside, row * lag + row + row[:, None], 0)
+    groups = [(g, np.minimum(np.abs(g[:, None] - g), lag) * n + np.minimum(g[:, None], g)) for g in _gap_groups(hole, lag)]
+    at = np.flatnonzero(hole)
+    near = at[:, None] + np.arange(1 - lag, lag)
+    held = np.where((near >= 0) & (near < n), known[np.clip(near, 0, n - 1)], 0)
+    near = np.abs(np.arange(1 - lag, lag)) * n + np.clip(np.minimum(near, at[:, None]), 0, None)
+    sums = np.zeros((lag + 1, lag + 1))
+    pull, before = np.zeros(n), None
+    for _ in range(max_iter):
+        windows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(y, k))
+        _, vectors = np.linalg.eigh(windows @ windows.T)
+        lead = vectors[:, -rank:]
+        off = np.eye(lag) - lead @ lead.T
+        # what the windows leave outside the subspace, summed, is a quadratic form of y
+        sums[:lag, 1:] = np.cumsum(np.where(inside, off.take(diagonals), 0), 1)
+        form = sums.take(upto) - sums.take(before_it)
+        pull[at] = -(form.take(near) * held).sum(1)
+        new = y.copy()
+        for g, pairs in groups:
+            a = form.take(pairs)
+            a.flat[:: len(g) + 1] += 1e-6  # a pull to the last fill, which keeps it solvable and moves no fixed point
+            new[g] = np.linalg.solve(a, pull[g] + 1e-6 * y[g])
+        moved = float(np.abs(new - y).max()) / scale
+        y = new
+        if not np.isfinite(moved):
+            return None
+        # what is still to come at the pace of the last two passes
+        if moved == 0 or (before is not None and moved < before and moved / (1 - moved / before) < tol):
+            return y
+        before = moved
+    return None
+
+
 def ssa_fill(x: np.ndarray, lag: int, rank: int, max_iter: int, tol: float) -> np.ndarray:
     """The rows of `x` (channel x slot, NaN where missing) with the missing entries imputed.
 
     Iterated: embed each row into its Hankel trajectory matrix of `lag` rows, keep the leading `rank` singular
-    vectors, average the anti-diagonals, and put the result in place of the missing entries, until they move by less
-    than `tol` standard deviations. Rows with fewer than `lag` + 1 values are filled by interpolation alone; rows
-    without any value stay NaN.
+    vectors, and put in place of the missing entries what leaves least of all windows outside of these: there further
+    passes of averaged anti-diagonals move nothing, so it has the fixed points of the plain iteration and needs few
+    passes. It ends when what is still to come, told from the pace of the last passes, is under `tol` standard
+    deviations; the missing entries of a row that isn't there after `max_iter` passes stay NaN. Rows with fewer than
+    `lag` + 1 values are filled by interpolation alone; rows without any value stay NaN.
     """
     out = x.copy()
     gaps = np.isnan(x)
@@ -32,30 +87,12 @@ def ssa_fill(x: np.ndarray, lag: int, rank: int, max_iter: int, tol: float) -> n
     held = (~gaps).sum(1)
     for c in np.flatnonzero((held > 0) & (held < n)):
         out[c, gaps[c]] = np.interp(at[gaps[c]], at[~gaps[c]], x[c, ~gaps[c]])
-    todo = np.flatnonzero((held > lag) & (held < n))
-    if n < 2 * lag or not len(todo):
+    if n < 2 * lag:
         return out
-    y, hole = out[todo], gaps[todo]
-    mean = y.mean(1, keepdims=True)
-    y = y - mean
-    scale = y.std(1)
-    k = n - lag + 1
-    counts = np.convolve(np.ones(k), np.ones(lag))
-    for _ in range(max_iter):
-        windows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(y, k, axis=1))
-        _, vectors = np.linalg.eigh(windows @ windows.transpose(0, 2, 1))
-        lead = np.ascontiguousarray(vectors[:, :, -rank:])
-        rebuilt = lead @ (lead.transpose(0, 2, 1) @ windows)
-        smooth = np.zeros_like(y)
-        for i in range(lag):
-            smooth[:, i : i + k] += rebuilt[:, i]
-        smooth /= counts
-        moved = np.where(hole, np.abs(smooth - y), 0).max(1)
-        y = np.where(hole, smooth, y)
-        open_ = moved > tol * np.maximum(scale, 1e-12)
-        if not open_.any():
-            break
-    out[todo] = np.where(hole, y + mean, out[todo])
+    for c in np.flatnonzero((held > lag) & (held < n)):
+        mean = out[c].mean()
+        filled = _ssa_row(out[c] - mean, gaps[c], lag, rank, max_iter, tol)
+        out[c, gaps[c]] = np.nan if filled is None else filled[gaps[c]] + mean
     return out
 
 
@@ -77,8 +114,8 @@ def regular_grid(
     lag: int = 16,
     rank: int = 3,
     max_gap: int = 64,
-    max_iter: int = 8,
-    tol: float = 0.02,
+    max_iter: int = 500,
+    tol: float = 1e-4,
 ) -> DataFrame:
     """One row per export and grid slot: (export_id, slot_no, slot_start_us, state, n_readings, n_filled, <sensors>).
 
@@ -90,7 +127,7 @@ def regular_grid(
     Defined cases: readings with a null timestamp, outside the range, or of an export that is not declared fall into
     no slot. Rows with the same row_id and timestamp count once. NaN and infinite values are null. A sensor's value
     is the mean of its distinct readings in the slot. A gap longer than `max_gap` slots, or a sensor without values
-    in a block, stays null. Exports with a null bound, a frequency of 0 or less or an empty range have no slots;
+    in a block, stays null, as do the gaps of a sensor whose imputation in a block doesn't converge. Exports with a null bound, a frequency of 0 or less or an empty range have no slots;
     repeated export rows are taken together (earliest start, latest end, smallest frequency). Columns beyond the
     named ones are ignored.
     """

@@ -108,6 +108,21 @@ def test_singular_spectrum_fill_beats_interpolation():
     assert np.isnan(ssa_fill(np.full((1, 50), np.nan), 16, 3, 5, 0.1)).all()
 
 
+@pytest.mark.parametrize(("period", "gap"), [(20, 12), (40, 30)])
+def test_grid_fills_long_gaps_to_convergence(spark, period, gap):
+    t = np.arange(1152)
+    clean = np.sin(2 * np.pi * t / period)
+    x = clean + 0.05 * np.random.default_rng(0).normal(size=1152)
+    gone = np.zeros(1152, bool)
+    for a in range(100, 1100, 250):
+        gone[a : a + gap] = True
+    readings = [(int(i), 1, at(10 * i + 3), float(x[i]), "a") for i in t[~gone]]
+    got = {r.slot_no: r for r in grid(spark, readings, [(1, 10, at(0), at(11520), "b")], block=2048).collect()}
+    assert all(got[i].state == "filled" for i in t[gone])
+    assert np.sqrt(np.mean([(got[i].sensor_00 - clean[i]) ** 2 for i in t[gone]])) < 0.15 * clean.std()
+    assert np.isnan(ssa_fill(np.where(gone, np.nan, x)[None], 16, 3, 2, 1e-4)[0, gone]).all()  # not converged, not told as filled
+
+
 def test_spikes_and_stuck_values():
     rng = np.random.default_rng(1)
     x = 50 + rng.normal(size=300) + 5 * np.sin(np.arange(300) / 40)
