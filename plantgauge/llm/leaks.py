@@ -102,34 +102,39 @@ def stretches(place: np.ndarray, ppos: np.ndarray, q: int) -> np.ndarray:
     return np.stack((p[first], p[last] + q, s[first]), 1)
 
 
-def aligned(parts: np.ndarray, size: int, band: int, insertion: int) -> tuple[np.ndarray, list[int]]:
-    """Which of the `size` passage characters the best chain of `parts` covers, and where in the passage an insertion
-    longer than `band` lies.
+def chained(parts: np.ndarray, band: int, insertion: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(parts in order of shift, score, place before or -1, letters covered) of the best chain up to each of `parts`.
 
     A chain goes forward in passage and document. A change of shift within `band` costs as many characters as a
     missing stretch would, a longer one (an insertion) of up to `insertion` costs the same as `band`; a chain never
-    jumps further.
+    jumps further, so each part meets only those whose shift is that near.
     """
-    parts = parts[np.lexsort((parts[:, 0], parts[:, 1]))]
-    if len(parts) > 400:  # keep the longest in reach of each other; only such long ones can carry a leak
-        parts = parts[np.sort(np.argsort(parts[:, 0] - parts[:, 1], kind="stable")[:400])]
+    parts = parts[np.lexsort((parts[:, 0], parts[:, 1], parts[:, 2]))]
     n = len(parts)
-    best, back = np.zeros(n), np.full(n, -1)
     a, b, s = parts.T
-    for i in range(n):
+    low, high = np.searchsorted(s, s - insertion), np.searchsorted(s, s + insertion, "right")
+    best, back, letters_ = np.full(n, -np.inf), np.full(n, -1), np.zeros(n, np.int64)
+    for i in np.lexsort((a, b)):
         own = b[i] - a[i]
-        best[i] = own
-        if i:
-            new = b[i] - np.maximum(a[i], b[:i])
-            skip = np.maximum(a[i] - b[:i], 0)
-            jump = np.abs(s[i] - s[:i])
-            forward = (new > 0) & (b[i] + s[i] > b[:i] + s[:i]) & (a[i] > a[:i]) & (jump <= insertion) & (skip <= band)
-            gain = np.where(forward, best[:i] + new - 0.5 * skip - 0.25 * np.minimum(jump, band), -1)
+        best[i], letters_[i] = own, own
+        if high[i] - low[i] > 1:
+            near = slice(low[i], high[i])
+            new = b[i] - np.maximum(a[i], b[near])
+            skip = np.maximum(a[i] - b[near], 0)
+            forward = (new > 0) & (b[i] + s[i] > b[near] + s[near]) & (a[i] > a[near]) & (skip <= band)
+            # parts that are still to come have no score yet
+            gain = np.where(forward, best[near] + new - 0.5 * skip - 0.25 * np.minimum(np.abs(s[i] - s[near]), band), -np.inf)
             j = int(np.argmax(gain))
             if gain[j] > own:
-                best[i], back[i] = gain[j], j
+                best[i], back[i], letters_[i] = gain[j], low[i] + j, letters_[low[i] + j] + new[j]
+    return parts, best, back, letters_
+
+
+def followed(i: int, parts: np.ndarray, back: np.ndarray, size: int, band: int) -> tuple[np.ndarray, list[int]]:
+    """Which of the `size` passage characters the chain that ends in part `i` covers, and where in the passage an
+    insertion longer than `band` lies."""
+    a, b, s = parts.T
     covered, jumps = np.zeros(size, bool), []
-    i = int(np.argmax(best)) if n else -1
     while i >= 0:
         covered[a[i] : b[i]] = True
         if back[i] >= 0 and abs(s[i] - s[back[i]]) > band:
@@ -138,6 +143,12 @@ def aligned(parts: np.ndarray, size: int, band: int, insertion: int) -> tuple[np
     return covered, jumps
 
 
+def aligned(parts: np.ndarray, size: int, band: int, insertion: int) -> tuple[np.ndarray, list[int]]:
+    """What the best chain of `parts` covers, and its insertions; see `chained` and `followed`."""
+    parts, best, back, _ = chained(parts, band, insertion)
+    return followed(int(np.argmax(best)) if len(best) else -1, parts, back, size, band)
+
+
 def words_in_a_row(covered: np.ndarray, bounds: np.ndarray, odd: float, jumps: list[int] | None = None) -> int:
     """Words of the longest window of passage words of which at most the share `odd` isn't covered, and in which at
     most one of the long insertions lies."""

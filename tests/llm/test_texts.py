@@ -106,6 +106,16 @@ def test_alignment_pieces():
     assert words_in_a_row(np.zeros(20, bool), np.arange(0, 21, 5), 0.25) == 0
 
 
+def test_leak_beside_many_copies_of_a_phrase():
+    # 500 copies of 7 words of the passage, and 21 words with three odd ones, so that all stretches are shorter than the copies
+    phrase = " ".join(WORDS[30:37])
+    odd = WORDS[:21]
+    odd[5], odd[10], odd[15] = "xxxxxx", "yyyyy", "zz"
+    text = (phrase + " 0123 ") * 500 + FILLER * 4 + " ".join(odd) + ". " + FILLER
+    assert max(len("".join(x)) for x in (odd[:5], odd[6:10], odd[11:15], odd[16:21])) < len(letters(phrase))
+    assert leaks([text]) == {0: 21}
+
+
 def test_counts_of_any_bound():
     values, asked = np.array([3, 3, 9]), np.array([3, 4, 9])
     assert occurrences(values, asked, 10).tolist() == occurrences(values, asked, 10**9).tolist() == [2, 0, 1]
