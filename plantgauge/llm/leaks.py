@@ -21,6 +21,9 @@ from ..session import spread_out
 from .textnorm import letters
 
 
+GOOD = 0.6  # share of a word's letters that have to be covered
+
+
 def codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """All characters of the texts as numbers, and where each text starts (one more for the end)."""
     starts = np.cumsum([0, *map(len, texts)])
@@ -44,9 +47,9 @@ def grams(chars: np.ndarray, q: int) -> np.ndarray:
 class PassageIndex:
     """The q-grams of a block of passages, the bounds of their words, and the count that the lemma asks for."""
 
-    def __init__(self, items: list[tuple[int, str]], q: int, words: int, budget: float):
+    def __init__(self, items: list[tuple[int, str]], q: int, words: int, budget: float, odd: float = 0.15):
         self.q, self.words = q, words
-        self.ids, texts, self.bounds, need = [], [], [], []
+        self.ids, texts, self.bounds, self.least, need = [], [], [], [], []
         for item, passage in items:
             parts = [w for w in (letters(x) for x in passage.split()) if w]
             if len(parts) < words:
@@ -59,6 +62,7 @@ class PassageIndex:
             self.ids.append(item)
             texts.append("".join(parts))
             self.bounds.append(np.concatenate(([0], ends)))
+            self.least.append(fewest_letters(self.bounds[-1], words, odd))
         self.need = np.array(need, np.int64)
         chars, starts = codes(texts)
         h = grams(chars, q)
@@ -149,11 +153,43 @@ def aligned(parts: np.ndarray, size: int, band: int, insertion: int) -> tuple[np
     return followed(int(np.argmax(best)) if len(best) else -1, parts, back, size, band)
 
 
+def longest_row(parts: np.ndarray, bounds: np.ndarray, band: int, insertion: int, odd: float, least: int) -> int:
+    """The most words in a row over all maximal chains of `parts`, with and without insertions longer than `band`;
+    chains that cover fewer than `least` letters hold no row that counts and are left out."""
+    most = 0
+    for reach in (insertion, min(band, insertion)):
+        ordered, _, back, letters_ = chained(parts, band, reach)
+        ends = np.ones(len(ordered), bool)
+        ends[back[back >= 0]] = False
+        seen = set()
+        for i in np.flatnonzero(ends & (letters_ >= least)):
+            covered, jumps = followed(int(i), ordered, back, int(bounds[-1]), band)
+            what = (covered.tobytes(), tuple(jumps))
+            if what not in seen:
+                seen.add(what)
+                most = max(most, words_in_a_row(covered, bounds, odd, jumps))
+    return most
+
+
+def fewest_letters(bounds: np.ndarray, words: int, odd: float) -> int:
+    """Letters that any row of `words` or more words covers at least, if up to the share `odd` of them isn't covered
+    and the others are to GOOD. A longer row can be cut into rows of `words` up to twice as many words, one of which
+    has no more odd words for its length, and among these the shortest for each number of odd words tells."""
+    size = np.diff(bounds)
+    fewest = int(bounds[-1])
+    for m in range(int(odd * words), int(odd * (2 * words - 1)) + 1):
+        length = next(n for n in range(words, 2 * words) if int(odd * n + 1e-9) >= m)
+        if length <= len(size):
+            each = np.sort(np.lib.stride_tricks.sliding_window_view(size, length), 1)[:, : length - m]
+            fewest = min(fewest, int(np.ceil(GOOD * each - 1e-9).sum(1).min()))
+    return fewest
+
+
 def words_in_a_row(covered: np.ndarray, bounds: np.ndarray, odd: float, jumps: list[int] | None = None) -> int:
     """Words of the longest window of passage words of which at most the share `odd` isn't covered, and in which at
     most one of the long insertions lies."""
     share = np.add.reduceat(covered.astype(float), bounds[:-1]) / np.diff(bounds)
-    good = share >= 0.6
+    good = share >= GOOD
     at = np.flatnonzero(good)
     if not len(at):
         return 0
@@ -213,8 +249,7 @@ def find_leaks(index: PassageIndex, texts: list[str], band: int, insertion: int,
     for a, b in zip(starts, [*starts[1:], len(key)], strict=True):
         d, i = divmod(int(key[a]), items)
         bounds = index.bounds[i]
-        covered, jumps = aligned(stretches(place[a:b], ppos[a:b], index.q), int(bounds[-1]), band, insertion)
-        n = words_in_a_row(covered, bounds, odd, jumps)
+        n = longest_row(stretches(place[a:b], ppos[a:b], index.q), bounds, band, insertion, odd, index.least[i])
         if n >= index.words:
             yield d, i, n
 
@@ -243,7 +278,7 @@ def leaked_items(
         shared = spark.sparkContext.broadcast(sorted((r.item_id, r.passage) for r in rows))
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = PassageIndex(shared.value, q, words, budget)
+            index = PassageIndex(shared.value, q, words, budget, odd)
             for b in batches:
                 found: list[tuple[int, int, int]] = []
                 ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()

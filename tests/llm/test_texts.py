@@ -116,6 +116,17 @@ def test_leak_beside_many_copies_of_a_phrase():
     assert leaks([text]) == {0: 21}
 
 
+def test_leak_beside_a_share_of_more_letters():
+    # 19 words of more letters, no case by themselves, then 20 shorter ones far away in the same text
+    items = ["considerable resistance throughout neighbouring installations " * 3 + "considerable resistance throughout neighbouring", " ".join(WORDS)]
+    long_ = [w + "abcdefghijklmnopqrst"[i] for i, w in enumerate(items[0].split())]
+    passage = " ".join(long_ + ["zzz"] * 6 + WORDS)
+    index = PassageIndex([(5, passage)], 8, 20, 0.05)
+    text = " ".join(long_) + ". " + FILLER * 10 + " ".join(WORDS[:20]) + ". " + FILLER
+    assert len(long_) == 19 and len("".join(long_)) > len("".join(WORDS[:20]))
+    assert list(find_leaks(index, [letters(text)], 48, 240, 0.15)) == [(0, 0, 20)]
+
+
 def test_counts_of_any_bound():
     values, asked = np.array([3, 3, 9]), np.array([3, 4, 9])
     assert occurrences(values, asked, 10).tolist() == occurrences(values, asked, 10**9).tolist() == [2, 0, 1]
