@@ -1,9 +1,10 @@
 """Passages of evaluation items inside documents, by q-gram lemma filtering and banded alignment.
 
 Texts are folded to letters and digits alone. Every q-gram of a document is looked up in an index of the passages'
-q-grams; hits are counted per item and per overlapping diagonal band, and a region stays only where the count meets
-what the q-gram lemma asks of a shared window under the edit budget. Regions are then aligned: matching diagonal
-stretches are chained in order within a band of shifts, and the passage words that the chain covers are counted.
+q-grams; hits are counted per item, and a region of shifts that no insertion leads out of stays only where its hits
+cover as many letters as the shortest row that the alignment accepts, so that nothing it accepts is lost before.
+Regions are then aligned: matching diagonal stretches are chained in order, and of all chains the passage words that
+they cover are counted.
 
 The items are the query set: they are taken in blocks of bounded size, each block against all documents.
 """
@@ -45,7 +46,7 @@ def grams(chars: np.ndarray, q: int) -> np.ndarray:
 
 
 class PassageIndex:
-    """The q-grams of a block of passages, the bounds of their words, and the count that the lemma asks for."""
+    """The q-grams of a block of passages, the bounds of their words, and the letters and q-grams that a row holds at least."""
 
     def __init__(self, items: list[tuple[int, str]], q: int, words: int, budget: float, odd: float = 0.15):
         self.q, self.words = q, words
@@ -63,7 +64,9 @@ class PassageIndex:
             texts.append("".join(parts))
             self.bounds.append(np.concatenate(([0], ends)))
             self.least.append(fewest_letters(self.bounds[-1], words, odd))
-        self.need = np.array(need, np.int64)
+        self.least_of = np.array(self.least, np.int64)
+        # a q-gram covers q letters at most: fewer q-grams than that cover no row that the alignment would accept
+        self.need = np.minimum(np.array(need, np.int64), -(-self.least_of // q))
         chars, starts = codes(texts)
         h = grams(chars, q)
         item = np.searchsorted(starts, np.arange(len(h)), "right") - 1
@@ -153,17 +156,21 @@ def aligned(parts: np.ndarray, size: int, band: int, insertion: int) -> tuple[np
     return followed(int(np.argmax(best)) if len(best) else -1, parts, back, size, band)
 
 
-def longest_row(parts: np.ndarray, bounds: np.ndarray, band: int, insertion: int, odd: float, least: int) -> int:
+def longest_row(parts: np.ndarray, bounds: np.ndarray, band: int, insertion: int, odd: float, words: int, least: int) -> int:
     """The most words in a row over all maximal chains of `parts`, with and without insertions longer than `band`;
-    chains that cover fewer than `least` letters hold no row that counts and are left out."""
-    most = 0
+    chains that cover fewer than `least` letters hold no row that counts and are left out, as are all of them where
+    not even all parts together hold `words`."""
+    most, size = 0, int(bounds[-1])
+    depth = np.cumsum(np.bincount(parts[:, 0], minlength=size + 1) - np.bincount(parts[:, 1], minlength=size + 1))
+    if words_in_a_row(depth[:size] > 0, bounds, odd) < words:
+        return 0
     for reach in (insertion, min(band, insertion)):
         ordered, _, back, letters_ = chained(parts, band, reach)
         ends = np.ones(len(ordered), bool)
         ends[back[back >= 0]] = False
         seen = set()
         for i in np.flatnonzero(ends & (letters_ >= least)):
-            covered, jumps = followed(int(i), ordered, back, int(bounds[-1]), band)
+            covered, jumps = followed(int(i), ordered, back, size, band)
             what = (covered.tobytes(), tuple(jumps))
             if what not in seen:
                 seen.add(what)
@@ -214,6 +221,19 @@ def occurrences(values: np.ndarray, asked: np.ndarray, bound: int) -> np.ndarray
     return np.where(names[at] == asked, counts[at], 0)
 
 
+def covered_letters(group: np.ndarray, ppos: np.ndarray, q: int) -> np.ndarray:
+    """Of each q-gram, how many letters of the passage all q-grams of its group cover."""
+    order = np.lexsort((ppos, group))
+    g, p = group[order], ppos[order]
+    opens = np.diff(g, prepend=-1) != 0
+    own = np.full(len(g), q)
+    own[:-1] = np.where(opens[1:], q, np.minimum(np.diff(p), q))
+    at = np.cumsum(opens) - 1
+    out = np.empty(len(g), np.int64)
+    out[order] = np.bincount(at, own)[at] if len(g) else 0
+    return out
+
+
 def find_leaks(index: PassageIndex, texts: list[str], band: int, insertion: int, odd: float) -> Iterator[tuple[int, int, int]]:
     """(text, item, words in a row) of each text that holds enough words of an item in a row."""
     doc, item, place, ppos = index.hits(texts)
@@ -222,34 +242,23 @@ def find_leaks(index: PassageIndex, texts: list[str], band: int, insertion: int,
         return
     key = doc * items + item
     keep = occurrences(key, key, len(texts) * items) >= index.need[item]
-    key, item, place, ppos = key[keep], item[keep], place[keep], ppos[keep]
-    # two rows of bands, each half a band apart, so that no region of one band's width falls between two
-    shift = place - ppos + (1 << 40)
-    strong = np.zeros(len(key), bool)
-    for offset in (0, band):
-        cell = (shift + offset) // (2 * band)
-        order = np.lexsort((cell, key))
-        k, c = key[order], cell[order]
-        opens = np.ones(len(k), bool)
-        opens[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
-        group = np.cumsum(opens) - 1
-        n = np.bincount(group) if len(group) else np.zeros(0, int)
-        # an insertion splits a region in two: half of what the lemma asks for proposes it
-        strong[order] |= 2 * n[group] >= index.need[item[order]]
-    # the bands of a pair together have to hold as many different q-grams of the passage as the lemma asks for
-    longest = int(max(b[-1] for b in index.bounds))
-    different = np.unique(key[strong] * longest + ppos[strong]) // longest
-    keep = occurrences(different, key, len(texts) * items) >= index.need[key % items]
+    key, place, ppos = key[keep], place[keep], ppos[keep]
+    keep = covered_letters(key, ppos, index.q) >= index.least_of[key % items]
+    key, place, ppos = key[keep], place[keep], ppos[keep]
+    # a chain never jumps further than an insertion: its region alone has to cover the letters of a row
+    shift = place - ppos
+    order = np.lexsort((shift, key))
+    key, place, ppos, shift = key[order], place[order], ppos[order], shift[order]
+    region = np.cumsum((np.diff(key, prepend=-1) != 0) | (np.diff(shift, prepend=0) > insertion))
+    keep = covered_letters(region, ppos, index.q) >= index.least_of[key % items]
     key, place, ppos = key[keep], place[keep], ppos[keep]
     if not len(key):
         return
-    order = np.argsort(key, kind="stable")
-    key, place, ppos = key[order], place[order], ppos[order]
     starts = np.flatnonzero(np.diff(key, prepend=-1))
     for a, b in zip(starts, [*starts[1:], len(key)], strict=True):
         d, i = divmod(int(key[a]), items)
         bounds = index.bounds[i]
-        n = longest_row(stretches(place[a:b], ppos[a:b], index.q), bounds, band, insertion, odd, index.least[i])
+        n = longest_row(stretches(place[a:b], ppos[a:b], index.q), bounds, band, insertion, odd, index.words, index.least[i])
         if n >= index.words:
             yield d, i, n
 

@@ -127,6 +127,16 @@ def test_leak_beside_a_share_of_more_letters():
     assert list(find_leaks(index, [letters(text)], 48, 240, 0.15)) == [(0, 0, 20)]
 
 
+def test_leak_of_twenty_words_with_three_long_ones_changed_and_an_insertion():
+    rng = np.random.default_rng(4)
+    odd = {3, 7, 12}
+    row = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 15 if i in odd else 5)) for i in range(20)]
+    index = PassageIndex([(5, " ".join(row))], 8, 20, 0.05)
+    changed = ["0" * 15 if i in odd else w for i, w in enumerate(row)]
+    text = FILLER + " ".join(changed[:16]) + " (as the reader of this log will surely still remember) " + " ".join(changed[16:]) + ". " + FILLER
+    assert list(find_leaks(index, [letters(text)], 48, 240, 0.15)) == [(0, 0, 20)]
+
+
 def test_counts_of_any_bound():
     values, asked = np.array([3, 3, 9]), np.array([3, 4, 9])
     assert occurrences(values, asked, 10).tolist() == occurrences(values, asked, 10**9).tolist() == [2, 0, 1]
