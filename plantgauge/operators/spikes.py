@@ -1,7 +1,7 @@
 """Implausible measurements per source: impossible values, spikes and stuck stretches, from an undecimated wavelet.
 
-A source's rows are cut into blocks of equal time that hold about `block` rows each, with a margin of the neighbours,
-so that one source of any size is spread over many tasks; what is usual is judged within a block.
+What is usual is defined per source, so a source is judged whole, by one task in arrays of numbers; only running
+medians, which need a copy per place, are taken in pieces.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import finite, micros, small
+from ..session import finite, micros
 
 IMPOSSIBLE, SPIKE, STUCK = "impossible", "spike", "stuck"
 
@@ -39,10 +39,12 @@ def runs_of(marks: np.ndarray) -> np.ndarray:
     return edges.reshape(-1, 2)
 
 
-def running_median(x: np.ndarray, width: int) -> np.ndarray:
+def running_median(x: np.ndarray, width: int, block: int = 4096) -> np.ndarray:
+    """The median of `width` values about each place, `block` places at a time."""
     half = width // 2
     padded = np.concatenate((np.full(half, np.nan), x, np.full(half, np.nan)))
-    return np.nanmedian(np.lib.stride_tricks.sliding_window_view(padded, width), axis=1)
+    windows = np.lib.stride_tricks.sliding_window_view(padded, width)
+    return np.concatenate([np.nanmedian(windows[i : i + block], axis=1) for i in range(0, len(x), block)])
 
 
 def stuck_marks(x: np.ndarray, least: int) -> np.ndarray:
@@ -58,7 +60,7 @@ def stuck_marks(x: np.ndarray, least: int) -> np.ndarray:
     return marks
 
 
-def spike_marks(x: np.ndarray, times: float, floor: float, longest: int, levels: int, cut: float, width: int) -> np.ndarray:
+def spike_marks(x: np.ndarray, times: float, floor: float, longest: int, levels: int, cut: float, width: int, block: int = 4096) -> np.ndarray:
     """Values off the local level by `times` the usual spread, in stretches of `longest` or fewer.
 
     Detail coefficients over `cut` robust scales propose stretches; a proposed value stays if it is off the running
@@ -73,7 +75,7 @@ def spike_marks(x: np.ndarray, times: float, floor: float, longest: int, levels:
     for d in wavelet_details(x, levels):
         proposed |= np.abs(d) > cut * max(robust_scale(d), 1e-9)
     proposed |= np.convolve(proposed, np.ones(2 * longest - 1), "same") > 0
-    level = running_median(x, width)
+    level = running_median(x, width, block)
     off = np.abs(x - level)
     bound = np.quantile(off, 0.9)
     spread = float(np.sqrt(np.mean(off[off <= bound] ** 2)))
@@ -116,7 +118,7 @@ def implausible(
     gets the first that holds. A source is (equipment_id, sensor), null keys included, ordered by timestamp and
     result_id. Rows of one result_id count once. Null, NaN and infinite values, and rows without a timestamp or id,
     are no cases and are skipped over; impossible values are left out before spikes and stuck stretches are sought. Sources of fewer than five
-    values have no spikes. An empty table gives no rows. Other columns are ignored.
+    values have no spikes. `block` bounds the places whose running medians are taken at once, and changes no result. An empty table gives no rows. Other columns are ignored.
     """
     rows = (
         results.select("result_id", "equipment_id", "sensor", micros(results, "timestamp").alias("us"), *[finite(f).alias(f) for f in fields])
@@ -124,20 +126,10 @@ def implausible(
         .groupBy("result_id", "equipment_id", "sensor", "us")
         .agg(*[F.max(f).alias(f) for f in fields])
     )
-    span = rows.groupBy("equipment_id", "sensor").agg(F.min("us").alias("from_us"), F.max("us").alias("to_us"), F.count("*").alias("n"))
-    span = span.select(F.col("equipment_id").alias("e_"), F.col("sensor").alias("s_"), "from_us", F.expr(f"(n + {block - 1}) div {block}").alias("blocks"), F.expr("to_us - from_us + 1").alias("length"))
-    blocked = (
-        rows.join(small(span), F.col("equipment_id").eqNullSafe(F.col("e_")) & F.col("sensor").eqNullSafe(F.col("s_")))
-        .withColumn("place", F.expr("(us - from_us) / length * blocks"))
-        .withColumn("own", F.expr("least(cast(floor(place) as long), blocks - 1)"))
-        .withColumn("blk", F.explode(F.expr("filter(array(own, if(place - own < 0.0625 and own > 0, own - 1, null), if(place - own > 0.9375 and own < blocks - 1, own + 1, null)), b -> b is not null)")))
-        .select("equipment_id", "sensor", "blk", "own", "us", "result_id", *fields)
-    )
 
     def judge(part: pa.Table) -> pa.Table:
         order = np.lexsort((part["result_id"].to_numpy(), part["us"].to_numpy()))
         part = part.take(pa.array(order))
-        mine = part["own"].to_numpy() == part["blk"].to_numpy()
         found = []
         for field in fields:
             x = part[field].to_numpy().astype(float)
@@ -148,12 +140,12 @@ def implausible(
             inside = there[~out]
             v = x[inside]
             stuck = stuck_marks(v, least_stuck)
-            spike = spike_marks(v, times, floor, longest, levels, cut, width)
+            spike = spike_marks(v, times, floor, longest, levels, cut, width, block)
             reason[inside[stuck]] = STUCK
             reason[inside[spike]] = SPIKE
-            at = np.flatnonzero(mine & np.array([r is not None for r in reason], bool))
+            at = np.flatnonzero(np.array([r is not None for r in reason], bool))
             part_at = part.select(["result_id", "equipment_id", "sensor"]).take(pa.array(at))
             found.append(part_at.append_column("field", pa.array([field] * len(at), pa.string())).append_column("value", pa.array(x[at])).append_column("reason", pa.array(reason[at], pa.string())))
         return pa.concat_tables(found)
 
-    return blocked.groupBy("equipment_id", "sensor", "blk").applyInArrow(judge, "result_id long, equipment_id string, sensor string, field string, value double, reason string")
+    return rows.groupBy("equipment_id", "sensor").applyInArrow(judge, "result_id long, equipment_id string, sensor string, field string, value double, reason string")

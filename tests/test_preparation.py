@@ -152,3 +152,19 @@ def test_implausible_edges(spark):
     blocked = {(r.result_id, r.field, r.reason) for r in implausible(spark.createDataFrame(rows, schema), block=64).collect()}
     assert blocked == got
     assert implausible(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_implausible_judges_a_source_whole(spark):
+    schema = "result_id long, equipment_id string, sensor string, timestamp timestamp, null_pct double, stuck_pct double"
+    rng = np.random.default_rng(3)
+    n = 6000
+    x = 50 + rng.normal(size=n) * np.where(np.arange(n) < n // 2, 0.2, 2.0)
+    x[2000:2300] = x[2000]  # stuck for longer than many a block and its margins
+    x[700] += 6  # usual for the source, whose second half is noisy, if not for the quiet first
+    when = 600 * np.arange(n) + np.where(np.arange(n) >= 4000, 600 * 4000, 0)  # a silence
+    x[4001] += 40  # a spike beside it
+    x[5000:5006] = x[5000]
+    rows = spark.createDataFrame([(i, "A", "s", at(when[i]), float(x[i]), None) for i in range(n)], schema)
+    want = {(i, "stuck") for i in (*range(2000, 2300), *range(5000, 5006))} | {(4001, "spike")}
+    for kw in ({}, {"block": 64}):
+        assert {(r.result_id, r.reason) for r in implausible(rows, **kw).collect()} == want
