@@ -179,10 +179,11 @@ def forest_scores(x: np.ndarray, forest: np.ndarray, sample: int) -> np.ndarray:
     return 2 ** (-total / len(roots) / max(path_length(sample), 1e-9))
 
 
-def isolation_outliers(rows: DataFrame, contamination: float = 0.05, trees: int = 100, sample: int = 256, fit_rows: int = 4096, seed: int = 42, key: str = KEY) -> DataFrame:
+def isolation_outliers(rows: DataFrame, contamination: float = 0.05, trees: int = 200, sample: int = 256, fit_rows: int = 51_200, seed: int = 42, key: str = KEY) -> DataFrame:
     """(key, window_id, score, outlier): the highest `contamination` share of scores, as a linear percentile.
 
-    A key's trees are grown on at most `fit_rows` of its rows, those of smallest hash; every row is scored.
+    A key's trees are grown on at most `fit_rows` of its rows, those of smallest hash, by default as many as all trees
+    draw together; every row is scored.
     """
     kind = rows.schema[key].dataType.simpleString()
     place = F.row_number().over(Window.partitionBy(key).orderBy(F.xxhash64("window_id", F.lit(seed)), "window_id"))

@@ -64,12 +64,12 @@ def removal_check(spark: SparkSession, d: str) -> DataFrame:
 def window_regimes(spark: SparkSession, d: str) -> DataFrame:
     """Clusters of the training windows by their mean vectors, numbered by their first mean."""
     rows = regime_vectors(spark, d).drop("regime")
-    return models.regimes(rows, starts=3).select("window_id", "regime")
+    return models.regimes(rows).select("window_id", "regime")
 
 
 def component_regimes(spark: SparkSession, d: str) -> DataFrame:
     rows = regime_vectors(spark, d).drop("regime").withColumn("plant", F.lit(1))
-    return models.regimes_by_components(rows, key="plant", starts=3).select("window_id", "regime")
+    return models.regimes_by_components(rows, key="plant").select("window_id", "regime")
 
 
 def residual_statistics(spark: SparkSession, d: str) -> DataFrame:
@@ -79,7 +79,7 @@ def residual_statistics(spark: SparkSession, d: str) -> DataFrame:
 def network_windows(spark: SparkSession, d: str) -> DataFrame:
     """Window scores of a reconstruction network trained on the first 70 % of each machine's rows."""
     rows = scaled_rows(spark, d).withColumn("split", F.expr("CASE WHEN row_pos < floor(n_rows * 0.7D) THEN 'train' WHEN row_pos < floor(n_rows * 0.85D) THEN 'val' ELSE 'test' END"))
-    net, _ = models.fit_network(rows, SENSORS, latent=3, fit_rows=4000, epochs=8)
+    net, _ = models.fit_network_everywhere(rows.where("split = 'train'"), SENSORS, latent=3, steps=150, decay=1e-5)
     errors = models.network_errors(rows, SENSORS, net)
     return rounded(errors.groupBy(EQ, "window_id").agg(F.count("*").alias("n_rows"), F.percentile("row_error", 0.95).alias("score")))
 

@@ -39,3 +39,24 @@ def test_partitioning_does_not_show(spark, name):
         assert got[0] == got[1]
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_models_are_fitted_whole(spark, monkeypatch):
+    from plantgauge.operators import models
+    from plantgauge.plans import models as plans
+    from plantgauge.plans.base import SENSORS
+
+    given = {}
+    real = models.fit_network_everywhere
+    monkeypatch.setattr(models, "fit_network", None)  # it trains on a sample
+    monkeypatch.setattr(models, "fit_network_everywhere", lambda rows, *a, **kw: given.update(rows=rows.dropna(subset=SENSORS).count(), **kw) or real(rows, *a, **(kw | {"steps": 1})))
+    larger = SF.replace("0.001", "0.01")  # the smallest has no complete training rows
+    plans.network_windows(spark, larger)
+    trained = plans.scaled_rows(spark, larger).where("row_pos < floor(n_rows * 0.7D)").dropna(subset=SENSORS).count()
+    assert given["rows"] == trained > 0 and given["steps"] == 150
+    starts = []
+    monkeypatch.setattr(models, "regimes", lambda rows, *a, **kw: starts.append(kw.get("starts", 10)) or rows.withColumn("regime", rows["window_id"]))
+    plans.window_regimes(spark, SF)
+    plans.component_regimes(spark, SF)
+    assert starts == [10, 10]
+    assert models.isolation_outliers.__defaults__[1] == 200
