@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from plantgauge.llm.abuse import LabelModel, Tagger, Voters, abuse_scores, bits_of, fit_label_model, segments, train_linear
-from plantgauge.llm.leaks import PassageIndex, aligned, find_leaks, leaked_items, occurrences, words_in_a_row
+from plantgauge.llm.leaks import PassageIndex, banded, bands_of, find_leaks, holds_row, in_runs, leaked_items, longest_row, occurrences, pieces
 from plantgauge.llm.queries import tokenizer_path
 from plantgauge.llm.textnorm import fold, letters
 from plantgauge.llm.tokens import PairIndexEncoder, encode_corpus
@@ -63,8 +63,8 @@ FILLER = "Nothing of note happened in the morning and the crew had a long rest b
 
 
 def leaks(texts, **kw):
-    index = PassageIndex([(5, PASSAGE)], 8, 20, 0.05)
-    return {d: n for d, _, n in find_leaks(index, [letters(t) for t in texts], kw.get("band", 48), 240, 0.15)}
+    index = PassageIndex([(5, PASSAGE)], 8, 20)
+    return {d: n for d, _, n in find_leaks(index, [letters(t) for t in texts], **kw)}
 
 
 def test_leaks_however_disguised():
@@ -97,13 +97,64 @@ def test_leaks_of_tables(spark):
     assert leaked_items(docs, items.where("false")).count() == 0 and leaked_items(docs.where("false"), items).count() == 0
 
 
-def test_alignment_pieces():
-    parts = np.array([[0, 40, 100], [38, 90, 180], [10, 20, 5000]])
-    covered, jumps = aligned(parts, 100, 48, 240)
-    assert covered[:90].all() and not covered[90:].any() and jumps == [38]
-    assert words_in_a_row(np.ones(20, bool), np.arange(0, 21, 5), 0.25, [5, 10]) == 3
-    assert words_in_a_row(np.repeat([True, False, True, True], 5), np.arange(0, 21, 5), 0.25) == 4
-    assert words_in_a_row(np.zeros(20, bool), np.arange(0, 21, 5), 0.25) == 0
+def brute_edits(p, t, longest):
+    """Least edits between p and any part of t; a row of put in characters costs `longest` at most."""
+    row = np.zeros(len(t) + 1, int)
+    for i, c in enumerate(p, 1):
+        new = np.array([min(row[j] + 1, row[j - 1] + (t[j - 1] != c) if j else i) for j in range(len(t) + 1)])
+        row = np.array([min(new[k] + min(j - k, longest) for k in range(j + 1)) for j in range(len(t) + 1)])
+    return row.min()
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("abc", min_size=1, max_size=14), st.text("abc", min_size=1, max_size=14), st.sampled_from([2, 3, 100]))
+def test_banded_alignment_is_of_least_cost(p, t, longest):
+    # a band as wide as all diagonals: what isn't matched on the path, with the jumps between, is the edit distance
+    pad, width = len(p), len(p) + len(t) + 1
+    one = np.array([[ord(c) for c in p]], np.uint32)
+    text = np.zeros((1, len(p) + width - 1), np.uint32)
+    text[0, pad : pad + len(t)] = [ord(c) for c in t]
+    matched, shift = banded(one, text, np.array([0]), width, longest)
+    matched, shift = matched[0], shift[0]
+    met = np.flatnonzero(shift >= 0)
+    assert all(text[0, i + shift[i]] == one[0, i] for i in np.flatnonzero(matched))
+    jumps = [(b + shift[b]) - (a + shift[a]) - 1 for a, b in zip(met, met[1:], strict=False)]
+    assert all(j >= 0 for j in jumps)
+    assert (~matched).sum() + sum(min(j, longest) for j in jumps) == brute_edits(p, t, longest)
+
+
+def brute_row(good, odd, after=None):
+    n, most = len(good), 0
+    for i in range(n):
+        for j in range(i + 1, n + 1):
+            for c in range(i, j + 1) if after is not None else (j,):
+                row = np.concatenate((good[i:c], (good if after is None else after)[c:j]))
+                if good[i] and (good if after is None else after)[j - 1] and (~row).sum() * 10_000 <= round(odd * 10_000) * len(row):
+                    most = max(most, j - i)
+    return most
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_rows_of_words(seed):
+    rng = np.random.default_rng(seed)
+    good, after = rng.random(24) < 0.7, rng.random(24) < 0.6
+    assert longest_row(good, 0.15) == brute_row(good, 0.15)
+    assert max(longest_row(good, 0.15, after), longest_row(good, 0.15), longest_row(after, 0.15)) == max(brute_row(good, 0.15, after), longest_row(good, 0.15), longest_row(after, 0.15))
+    rows = [rng.random(n) < 0.85 for n in rng.integers(0, 60, 50)]
+    told = holds_row(np.concatenate(rows), np.array([len(r) for r in rows]), 20, 0.15)
+    assert all(t for t, r in zip(told, rows, strict=True) if brute_row(r, 0.15) >= 20)
+
+
+def test_pieces_and_bands():
+    assert pieces("abcdefgh", 4, 2) == ["abcd", "cdef", "efgh"] and pieces("ab", 4, 2) == ["ab"] and pieces("", 4, 2) == [""]
+    assert in_runs(np.array([[True] * 4 + [False] + [True] * 3]), np.array([[5] * 6 + [6] * 2]), 3).tolist() == [[True] * 4 + [False] * 4]
+    rng = np.random.default_rng(0)
+    shift = rng.integers(-200, 200, 60)
+    hit, cell = bands_of(shift, np.zeros(60, int), 16)
+    bands = [set(hit[cell == c]) for c in set(cell)]
+    for x in range(60):  # any hits that span less than a cell lie in one band
+        near = set(np.flatnonzero((shift >= shift[x]) & (shift <= shift[x] + 16)))
+        assert any(near <= b for b in bands)
 
 
 def test_leak_beside_many_copies_of_a_phrase():
@@ -121,26 +172,66 @@ def test_leak_beside_a_share_of_more_letters():
     items = ["considerable resistance throughout neighbouring installations " * 3 + "considerable resistance throughout neighbouring", " ".join(WORDS)]
     long_ = [w + "abcdefghijklmnopqrst"[i] for i, w in enumerate(items[0].split())]
     passage = " ".join(long_ + ["zzz"] * 6 + WORDS)
-    index = PassageIndex([(5, passage)], 8, 20, 0.05)
+    index = PassageIndex([(5, passage)], 8, 20)
     text = " ".join(long_) + ". " + FILLER * 10 + " ".join(WORDS[:20]) + ". " + FILLER
     assert len(long_) == 19 and len("".join(long_)) > len("".join(WORDS[:20]))
-    assert list(find_leaks(index, [letters(text)], 48, 240, 0.15)) == [(0, 0, 20)]
+    assert list(find_leaks(index, [letters(text)])) == [(0, 0, 20)]
 
 
 def test_leak_of_twenty_words_with_three_long_ones_changed_and_an_insertion():
     rng = np.random.default_rng(4)
     odd = {3, 7, 12}
     row = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 15 if i in odd else 5)) for i in range(20)]
-    index = PassageIndex([(5, " ".join(row))], 8, 20, 0.05)
+    index = PassageIndex([(5, " ".join(row))], 8, 20)
     changed = ["0" * 15 if i in odd else w for i, w in enumerate(row)]
     text = FILLER + " ".join(changed[:16]) + " (as the reader of this log will surely still remember) " + " ".join(changed[16:]) + ". " + FILLER
-    assert list(find_leaks(index, [letters(text)], 48, 240, 0.15)) == [(0, 0, 20)]
+    assert list(find_leaks(index, [letters(text)])) == [(0, 0, 20)]
+
+
+@pytest.mark.parametrize("captions", [0, 3, 6, 10, 25])
+def test_leak_beside_repeated_captions(captions):
+    # a caption stands again and again in both texts, beside 30 words word for word
+    caption = "figure taken from the yearly survey of the northern pilots "
+    passage = caption * captions + " ".join(WORDS[:30])
+    index = PassageIndex([(5, passage)], 8, 20)
+    text = FILLER + " ".join(WORDS[:30]) + ". " + (caption + "0123 ") * captions + FILLER
+    found = dict((i, n) for _, i, n in find_leaks(index, [letters(text)]))
+    assert found.get(0, 0) >= 30
+
+
+def test_repeats_of_a_phrase_in_both():
+    phrase = " ".join(WORDS[:14]) + " "
+    for n in (19, 20, 40):
+        passage = (phrase + "then ") * n + " ".join(WORDS[3:33][::-1])
+        text = (phrase + "0123 ") * n + " ".join(WORDS[3:33][::-1])
+        assert [i for _, i, _ in find_leaks(PassageIndex([(5, passage)], 8, 20), [letters(text)])] == [0]
+
+
+def test_hot_qgrams_are_taken_in_parts():
+    # 400 items share a sentence; held at once are a few thousand hits, and the leaks are the same
+    rng = np.random.default_rng(1)
+    own = [" ".join("".join(rng.choice(list("abcdefghijklmnop"), 6)) for _ in range(24)) for _ in range(400)]
+    index = PassageIndex([(i, " ".join(WORDS[:14]) + " " + o) for i, o in enumerate(own)], 8, 20)
+    texts = [letters((" ".join(WORDS[:14]) + ". ") * 30 + own[i]) for i in (3, 77)] + [letters(FILLER)]
+    want = [(0, 3), (1, 77)]
+    largest, real = [], index.hits
+    index.hits = lambda *a: (largest.append(len((x := real(*a))[0])), x)[1]
+    for bound in (2_000_000, 20_000, 500):
+        largest.clear()
+        assert sorted((d, i) for d, i, _ in find_leaks(index, texts, hits=bound)) == want
+        assert max(largest) <= max(4 * bound, 5_000)
+
+
+def test_long_texts_are_searched_in_pieces(spark):
+    docs = spark.createDataFrame([(1, FILLER * 60 + PASSAGE + FILLER * 60)], "doc_id long, text string")
+    items = spark.createDataFrame([(7, PASSAGE)], "item_id long, passage string")
+    assert [r.n_words for r in leaked_items(docs, items, piece_chars=1).collect()] == [len(WORDS)]
 
 
 def test_counts_of_any_bound():
-    values, asked = np.array([3, 3, 9]), np.array([3, 4, 9])
-    assert occurrences(values, asked, 10).tolist() == occurrences(values, asked, 10**9).tolist() == [2, 0, 1]
-    assert occurrences(values[:0], asked, 10**9).tolist() == [0, 0, 0]
+    values = np.array([3, 3, 9])
+    assert occurrences(values).tolist() == [2, 2, 1] and occurrences(values * 10**9).tolist() == [2, 2, 1]
+    assert occurrences(values[:0]).tolist() == []
 
 
 def test_folding():
