@@ -7,7 +7,7 @@ import pytest
 
 from plantgauge.operators.periods import combine, periods_and_gaps
 from plantgauge.operators.regrid import empty_slots, regular_grid, ssa_fill
-from plantgauge.operators.spikes import implausible, spike_marks, stuck_marks
+from plantgauge.operators.spikes import implausible, left_over, proposed, robust_scale, runs_of, wavelet_details
 
 T0 = datetime(2024, 1, 1)
 LABELS = "label_id long, node_id long, start_time timestamp, end_time timestamp, extra string"
@@ -123,21 +123,92 @@ def test_grid_fills_long_gaps_to_convergence(spark, period, gap):
     assert np.isnan(ssa_fill(np.where(gone, np.nan, x)[None], 16, 3, 2, 1e-4)[0, gone]).all()  # not converged, not told as filled
 
 
-def test_spikes_and_stuck_values():
+RESULTS = "result_id long, equipment_id string, sensor string, timestamp timestamp, null_pct double, stuck_pct double"
+
+
+def reasons(spark, x, step=None, **kw):
+    """{place: reason} of one source's values."""
+    step = np.ones(len(x)) if step is None else step
+    rows = [(i, "A", "s", at(600 * t), None if np.isnan(v) else float(v), None) for i, (v, t) in enumerate(zip(x, np.cumsum(step), strict=True))]
+    return {r.result_id: r.reason for r in implausible(spark.createDataFrame(rows, RESULTS), **kw).collect()}
+
+
+def brute_reasons(x, cut=6.0, width=9, levels=3, least=6):
+    """The same over the whole source at once."""
+    n, out = len(x), {}
+    same = np.diff(x) == 0
+    for a, b in runs_of(same):
+        if b - a + 1 >= least and (~same).sum() > (len(same) - (b - a)) / 2:
+            out |= dict.fromkeys(range(a, b + 1), "stuck")
+    faulty = proposed(x, np.array([robust_scale(np.concatenate((d, -d))) for d in wavelet_details(x, levels)]), cut)
+    rest = left_over(x, faulty, levels)[~faulty]
+    level = np.array([np.median(x[max(i - width // 2, 0) : i + width // 2 + 1]) for i in range(n)])
+    size = np.abs(x - level)
+    squares, count = (rest**2).sum(), len(rest)
+    for s in np.sort(size[faulty]):
+        if s >= 8 * np.sqrt(squares / count):
+            break
+        squares, count = squares + s**2, count + 1
+    bound = 5.0 if (np.abs(rest) <= 1e-6).mean() >= 0.9 else 8 * np.sqrt(squares / count)
+    for a, b in runs_of(faulty & (size >= bound)):
+        if b - a <= 3 and a > 0 and b < n:
+            out |= dict.fromkeys(range(a, b), "spike")
+    return out
+
+
+def test_spikes_and_stuck_values(spark):
     rng = np.random.default_rng(1)
     x = 50 + rng.normal(size=300) + 5 * np.sin(np.arange(300) / 40)
     spiky = x.copy()
     spiky[[50, 120, 121, 200, 201, 202]] += [14, -14, -13, 20, 22, 21]
     spiky[250:] += 30  # a lasting change is no spike
-    assert set(np.flatnonzero(spike_marks(spiky, 8, 5, 3, 3, 3, 9))) == {50, 120, 121, 200, 201, 202}
-    assert not spike_marks(x, 8, 5, 3, 3, 3, 9).any()
+    assert reasons(spark, spiky) == dict.fromkeys((50, 120, 121, 200, 201, 202), "spike")
+    assert reasons(spark, x) == {}
     flat = np.full(100, 3.0)
     flat[[40, 60]] = [9.0, 6.0]  # six points off is a spike, three aren't
-    assert list(np.flatnonzero(spike_marks(flat, 8, 5, 3, 3, 3, 9))) == [40]
+    assert reasons(spark, flat) == {40: "spike"}
     held = x.copy()
     held[30:37] = held[30]
-    assert list(np.flatnonzero(stuck_marks(held, 6))) == list(range(30, 37))
-    assert not stuck_marks(np.repeat(np.arange(20.0), 7), 6).any()  # it seldom changes anyway
+    assert reasons(spark, held) == dict.fromkeys(range(30, 37), "stuck")
+    assert reasons(spark, np.repeat(np.arange(20.0), 7)) == {}  # it seldom changes anyway
+    assert reasons(spark, np.array([50.0, 99.0, 50.0, 50.0])) == {}
+
+
+def test_the_details_decide(spark):
+    rng = np.random.default_rng(5)
+    x = 50 + rng.normal(size=400)
+    x[[90, 200, 310]] += 15
+    assert reasons(spark, x) == dict.fromkeys((90, 200, 310), "spike")
+    assert reasons(spark, x, cut=1e9) == {}  # no coefficient counts: nothing is proposed
+    assert reasons(spark, x, cut=0.0) == {}  # every one does: there is no ordinary value left to tell the spread
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_blocks_give_what_the_whole_source_gives(spark, seed):
+    rng = np.random.default_rng(seed)
+    n = 1500
+    x = np.round(50 + rng.normal(size=n) * 2, 2)
+    at_ = rng.choice(np.arange(20, n - 20), 30, replace=False)
+    x[at_] += rng.choice([-1, 1], 30) * rng.uniform(14, 30, 30)
+    for a, size in ((230, 6), (252, 9), (500, 300), (1020, 30), (1050, 40), (1490, 10)):  # over the edges of blocks of 256, one next to another
+        x[a : a + size] = x[a]
+    want = brute_reasons(np.clip(x, 0, 100))
+    assert sum(r == "stuck" for r in want.values()) == 395 and sum(r == "spike" for r in want.values()) > 10
+    burst = np.where(np.arange(n) % 1400 < 5, 5000, 1 / 600)  # nearly all rows within some minutes
+    for kw in ({}, {"block": 64}):
+        assert reasons(spark, np.clip(x, 0, 100), **kw) == want
+        assert reasons(spark, np.clip(x, 0, 100), burst, **kw) == want
+
+
+def test_blocks_hold_a_bounded_number_of_rows(spark, monkeypatch):
+    from plantgauge.operators import spikes
+
+    sizes = []
+    real = spikes._usual
+    monkeypatch.setattr(spikes, "_usual", lambda blocks, *a: sizes.extend(r["count"] for r in blocks.groupBy("source", "field", "_blk").count().collect()) or real(blocks, *a))
+    x = 50 + np.random.default_rng(0).normal(size=3000)
+    reasons(spark, x, np.where(np.arange(3000) == 10, 10**5, 1e-3), block=256)
+    assert sum(sizes) >= 3000 and max(sizes) <= 256 + 2 * 22
 
 
 def test_implausible_edges(spark):
