@@ -17,13 +17,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh32_intdigest, xxh64_intdigest
 
-from ..session import spread_out
+from ..session import durable, spread_out
 from . import lexicon
 from .textnorm import fold
 
 SENTENCE = re.compile(r"(?<=[.!?…;])\s+|[\r\n]+|\s[-–|]\s|, (?=i |you |we |the only|a plant|typical |never |send |get )")
 SPACED = re.compile(r"(?<![a-z0-9])(?:[a-z0-9@$#*][.\-_*]){2,}[a-z0-9@$#*](?![a-z0-9])|(?<![a-z0-9])(?:[a-z0-9@$] ){3,}[a-z0-9@$](?![a-z0-9])")
+#: What any match of SPACED holds; few texts do.
+MAYBE_SPACED = re.compile(r"[.\-_*][a-z0-9@$#*][.\-_*]| [a-z0-9@$] [a-z0-9@$] ")
 WORD = re.compile(r"[a-z0-9@$#*_!|+\-]*[a-z0-9@$#*][a-z0-9@$#*_!|+\-]*")
 NUMBER = re.compile(r"(?<![a-z0-9$@])\d[\d.,:/]*(?![a-z0-9$@])")
 UNIT = re.compile(r"\b[a-z]{2}-\d{3}[a-z]\b|\bsensor_\d+\b")
@@ -104,12 +107,17 @@ class Tagger:
 
 def segments(text: str, longest: int = 18, step: int = 9) -> list[str]:
     """The folded text's sentences, numbers and tags as one; longer ones in windows of `longest` words, each `step`
-    words on."""
+    words on; what spans no more than `longest` - `step` + 1 words lies whole in one."""
     out = []
-    for s in SENTENCE.split(SPACED.sub(lambda m: re.sub(r"[ .\-_*]", "", m.group()), fold(text))):
+    text = fold(text)
+    if MAYBE_SPACED.search(text):
+        text = SPACED.sub(lambda m: re.sub(r"[ .\-_*]", "", m.group()), text)
+    for s in SENTENCE.split(text):
         if not s or s.isspace():
             continue
-        words = NUMBER.sub("0", UNIT.sub("sensor", s)).split()
+        if "-" in s or "_" in s:
+            s = UNIT.sub("sensor", s)
+        words = NUMBER.sub("0", s).split()
         if len(words) <= longest:
             out.append(" ".join(words))
         else:
@@ -123,13 +131,17 @@ class Voters:
         self.patterns = [re.compile(p) for p in lexicon.VOTERS.values()]
         self.harmless = np.array([n.startswith("not_") for n in self.names])
         self.prior = np.array([lexicon.PRIOR[n] for n in self.names])
+        self.asked = [[(1 << j, p.search) for j, p in enumerate(self.patterns) if self.harmless[j] == h] for h in (False, True)]
 
     def pattern(self, tagged: str) -> int:
-        """Bit j is set where voter j fires."""
+        """Bit j is set where voter j fires; harmless voters are asked only where another accuses."""
         bits = 0
-        for j, p in enumerate(self.patterns):
-            if p.search(tagged):
-                bits |= 1 << j
+        for asked in self.asked:
+            for bit, search in asked:
+                if search(tagged):
+                    bits |= bit
+            if not bits:
+                break
         return bits
 
 
@@ -184,14 +196,12 @@ def fit_label_model(patterns: np.ndarray, counts: np.ndarray, prior: np.ndarray,
 
 
 def features(tagged: str, bits: int = 18) -> np.ndarray:
-    """Hashed words, pairs and pairs over a gap of a tagged segment, each once."""
-    import xxhash
-
+    """Hashed words, pairs, pairs over a gap and triples of a tagged segment, each once."""
     w = ["^", *tagged.split(), "$"]
     names = [*w[1:-1], *(f"{a} {b}" for a, b in zip(w, w[1:], strict=False)), *(f"{a} _ {b}" for a, b in zip(w, w[2:], strict=False))]
     names += [f"{a} {b} {c}" for a, b, c in zip(w, w[1:], w[2:], strict=False)]
     mask = (1 << bits) - 1
-    return np.unique(np.fromiter((xxhash.xxh32_intdigest(x) & mask for x in names), np.int64, len(names)))
+    return np.unique(np.fromiter((xxh32_intdigest(x) & mask for x in names), np.int64, len(names)))
 
 
 def train_linear(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, bits: int = 18, epochs: int = 12, least_steps: int = 1500, rate: float = 0.15, decay: float = 2e-5, bias: float = -2.0, seed: int = 7) -> tuple[np.ndarray, float]:
@@ -224,70 +234,60 @@ def train_linear(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray
     return full, bias
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
-    for b in batches:
-        yield b.column(0).to_pylist(), b.column(1).to_pylist()
-
-
-def abuse_scores(documents: DataFrame, text: str = "text", key: str = "doc_id", keep: tuple[str, ...] = ("source",), train_segments: int = 60_000, bits: int = 18) -> DataFrame:
+def abuse_scores(documents: DataFrame, text: str = "text", key: str = "doc_id", keep: tuple[str, ...] = ("source",), train_segments: int = 60_000, oversample: int = 50, bits: int = 18) -> DataFrame:
     """(doc_id, <keep>, score): a score from 0 to 1 per document row; 0.5 and above is abusive.
 
     Votes are counted and documents scored whole and over all rows. `train_segments` bounds the labelled sample that
     the classifier is trained on: up to half from segments on which an accusing voter fires, the rest from all others,
-    each picked by a hash of its document, place and words. Null, empty and blank texts score 0. Repeated rows are scored each. An empty
-    table gives no rows. Without any accused segment in the corpus all scores are 0.
+    each picked by a hash of its document, place and words. The pass that counts votes draws the sample too: its rates
+    follow from the letters of the corpus, at `oversample` times the others' rate for accused segments, and what is
+    drawn beyond the bound is left out by the same hash. Null, empty and blank texts score 0. Repeated rows are scored
+    each. An empty table gives no rows. Without any accused segment in the corpus all scores are 0.
     """
     spark = documents.sparkSession
-    docs = spread_out(documents.select(F.col(key).alias("doc_id"), F.col(text).alias("text")))
-    voters = Voters()
-    accusing = sum(1 << j for j, h in enumerate(voters.harmless) if not h)
+    docs = spread_out(documents.select(F.col(key).alias("doc_id"), F.col(text).alias("text")).where("text IS NOT NULL"))
+    accusing = sum(1 << j for j, h in enumerate(Voters().harmless) if not h)
+    size = documents.agg(F.sum(F.length(text).cast("long"))).first()[0] or 0
+    # more letters than a segment of ordinary text has: rather too many are drawn
+    rates = [min(1.0, much * train_segments / 2 / max(size / 120, 1)) for much in (1, oversample)]
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tagger, voters, seen, known = Tagger(), Voters(), {}, {}
-        for _, texts in _texts(batches):
-            for t in texts:
-                for s in segments(t) if t else ():
-                    p = known.get(s)
-                    if p is None:
-                        p = voters.pattern(tagger.tagged(s))
-                        if len(known) < REMEMBERED:
-                            known[s] = p
-                    seen[p] = seen.get(p, 0) + 1
-        yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.int64()), pa.array(seen.values(), pa.int64())], names=["pattern", "n"])
-
-    # at most 2 ** (number of voters) rows, whatever the corpus
-    table = docs.mapInArrow(count, "pattern long, n long").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").collect()
-    patterns, counts = np.array([r.pattern for r in table], np.int64), np.array([r.n for r in table], np.int64)
-    accused = (patterns & accusing) != 0
-    if not accused.any():
-        return documents.select(F.col(key).alias("doc_id"), *[k for k in keep if k in documents.columns], F.lit(0.0).alias("score"))
-    model = fit_label_model(patterns, counts, voters.prior, voters.harmless)
-    share = [min(1.0, train_segments / 2 / max(int(counts[a].sum()), 1)) for a in (~accused, accused)]
-
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        tagger, voters, known = Tagger(), Voters(), {}
-        for ids, texts in _texts(batches):
+        names = ["pattern", "n", "draw", "at"]
+        for batch in batches:
             draws, got, votes = [], [], []
-            for i, t in zip(ids, texts, strict=True):
-                for k, s in enumerate(segments(t) if t else ()):
-                    draw = xxhash.xxh64_intdigest(f"{i} {k} {s}")
-                    if draw >= max(share) * 2**64:
-                        continue
+            for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for k, s in enumerate(segments(t)):
                     found = known.get(s)
                     if found is None:
-                        found = tagger.tagged(s)
-                        found = (voters.pattern(found), found)
+                        tagged = tagger.tagged(s)
+                        found = (voters.pattern(tagged), tagged)
                         if len(known) < REMEMBERED:
                             known[s] = found
-                    if draw < share[bool(found[0] & accusing)] * 2**64:
+                    seen[found[0]] = seen.get(found[0], 0) + 1
+                    draw = xxh64_intdigest(f"{i} {k} {s}")
+                    if draw < rates[bool(found[0] & accusing)] * 2**64:
                         draws.append(draw - 2**63)
                         got.append(features(found[1], bits))
                         votes.append(found[0])
-            yield pa.RecordBatch.from_arrays([pa.array(draws, pa.int64()), pa.array(votes, pa.int64()), pa.array(got, pa.list_(pa.int64()))], names=["draw", "pattern", "at"])
+            if draws:
+                yield pa.RecordBatch.from_arrays([pa.array(votes, pa.int64()), pa.nulls(len(draws), pa.int64()), pa.array(draws, pa.int64()), pa.array(got, pa.list_(pa.int32()))], names=names)
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.int64()), pa.array(seen.values(), pa.int64()), pa.nulls(len(seen), pa.int64()), pa.nulls(len(seen), pa.list_(pa.int32()))], names=names)
 
-    sample = docs.mapInArrow(pick, "draw long, pattern long, at array<long>").dropDuplicates(["draw"]).toArrow().combine_chunks()
+    looked = durable(docs.mapInArrow(look, "pattern long, n long, draw long, at array<int>"))
+    # at most 2 ** (number of voters) rows, whatever the corpus
+    table = looked.where("n IS NOT NULL").groupBy("pattern").agg(F.sum("n").alias("n")).orderBy("pattern").collect()
+    patterns, counts = np.array([r.pattern for r in table], np.int64), np.array([r.n for r in table], np.int64)
+    accused = (patterns & accusing) != 0
+    if not accused.any():
+        return documents.select(F.col(key).alias("doc_id"), *[k for k in keep if k in documents.columns], F.lit(0.0).alias("score"))
+    voters = Voters()
+    model = fit_label_model(patterns, counts, voters.prior, voters.harmless)
+    shares = [min(r, train_segments / 2 / max(int(counts[a].sum()), 1)) for r, a in zip(rates, (~accused, accused), strict=True)]
+    limits = [F.lit(min(int(x * 2**64) - 2**63, 2**63 - 1)) for x in shares]
+    within = F.col("draw") < F.when(F.col("pattern").bitwiseAND(accusing) == 0, limits[0]).otherwise(limits[1])
+    sample = looked.where("draw IS NOT NULL").where(within).select("draw", "pattern", "at").dropDuplicates(["draw"]).toArrow().combine_chunks()
     votes = sample["pattern"].to_numpy()
     rows = [np.asarray(x.values, np.int64) for x in sample["at"].combine_chunks()]
     order = np.argsort(sample["draw"].to_numpy())  # the same at any partitioning
