@@ -1,10 +1,11 @@
 """Exact percentiles per group by distributed multi-select, and day summaries that can be added up.
 
-Values are pre-aggregated to (group, value, weight). Each round, every partition proposes the median of its active
-values; the weighted median of the proposals is the pivot of a group and target; the active weights are counted below,
-at and above it; and the side that can't hold the wanted rank is discarded. One pass a round: while it counts, a
-partition already proposes a median for either side. Once no active range holds more than `finish` values, the
-ranges are ranked outright.
+Each round, every partition proposes the median of its active values; the weighted median of the proposals is the
+pivot of a range; the active weights are counted below, at and above it; and the sides that hold no wanted rank are
+discarded. All targets of a group whose ranks still lie in the same range share it, so ranges are disjoint and a value
+is in one at most. One pass a round: while it counts, a partition already proposes a median for either side. Values
+stay in the partitions that they are in; only counts and proposals are shuffled. Once no active range holds more than
+`finish` values, the ranges are ranked outright.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import durable
+from ..session import BROADCAST_BOUND, durable
 
 PER_MILLE = {"p50": 500, "p90": 900, "p95": 950, "p99": 990}
 
@@ -27,11 +28,16 @@ def _weighted_median(proposals: str, total: str) -> Column:
     )
 
 
-def _same(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
-    return cond
+def _within(data: DataFrame, ranges: DataFrame, n: int, salts: int = 32) -> DataFrame:
+    """The values that lie in an active range, with the range's columns.
+
+    `n` ranges go out whole if they are small; else both sides are salted, so that a group of any size is spread.
+    """
+    inside = (F.col("lo").isNull() | (F.col("v") > F.col("lo"))) & (F.col("hi").isNull() | (F.col("v") < F.col("hi")))
+    if n * 512 <= BROADCAST_BOUND:
+        return data.join(F.broadcast(ranges), "g").where(inside)
+    salted = ranges.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    return data.withColumn("_salt", F.pmod(F.xxhash64("v"), F.lit(salts))).join(salted, ["g", "_salt"]).where(inside).drop("_salt")
 
 
 def multi_select(values: DataFrame, keys: list[str], value: str = "v", weight: str = "w", targets: dict[str, int] | None = None, finish: int = 4096) -> DataFrame:
@@ -42,40 +48,32 @@ def multi_select(values: DataFrame, keys: list[str], value: str = "v", weight: s
     value don't come out. Ties count each. The error is 0. No column but the named ones is read.
     """
     targets = targets or PER_MILLE
-    held = values.select(*keys, F.col(value).cast("double").alias("v"), F.col(weight).cast("long").alias("w")).where("v IS NOT NULL AND NOT isnan(v) AND w > 0")
-    data = durable(held.groupBy(*keys, "v").agg(F.sum("w").alias("w")))
-    first = (
-        data.groupBy(*keys, F.spark_partition_id().alias("pid"))
-        .agg(F.percentile_approx("v", 0.5, 200).alias("m"), F.sum("w").alias("w"), F.count("*").alias("rows"))
-        .groupBy(*keys)
-        .agg(F.collect_list(F.struct("m", "w")).alias("props"), F.sum("w").alias("n"), F.sum("rows").alias("rows"))
-    )
-    state = durable(
-        first.withColumn("p", _weighted_median("props", "n"))
-        .select(*keys, "n", "rows", "p", F.explode(F.create_map(*[F.lit(x) for kv in targets.items() for x in kv])).alias("t", "mille"))
-        .withColumn("r", F.expr("(mille * n + 999) div 1000 - 1"))
-        .select(*keys, "n", "t", "r", "p", "rows", F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"), F.lit(0).cast("long").alias("below"), F.lit(None).cast("double").alias("answer"))
-    )
-    on, stored = keys, None
+    # a struct of the keys is itself never null, so it joins on equality where a key is null
+    group = F.struct(*[F.col(k) for k in keys]).alias("g")
+    data = durable(values.select(group, F.col(value).cast("double").alias("v"), F.col(weight).cast("long").alias("w")).where("v IS NOT NULL AND NOT isnan(v) AND w > 0"))
+    proposals = data.groupBy("g", F.spark_partition_id().alias("pid")).agg(F.percentile_approx("v", 0.5, 200).alias("m"), F.sum("w").alias("w"), F.count("*").alias("rows"))
+    sizes = proposals.groupBy("g").agg(F.collect_list(F.struct("m", "w")).alias("props"), F.sum("w").alias("n"), F.sum("rows").alias("rows"))
+    wanted = F.array(*[F.struct(F.lit(t).alias("t"), F.expr(f"({m} * n + 999) div 1000 - 1").alias("r")) for t, m in targets.items()])
+    missing = F.lit(None).cast("double")
+    state = durable(sizes.select("g", "n", F.lit("all").alias("side"), missing.alias("lo"), missing.alias("hi"), F.lit(0).cast("long").alias("below"), _weighted_median("props", "n").alias("p"), "rows", wanted.alias("targets")))
+    answers, stored = [], None
     while True:
-        most, active = state.where("answer IS NULL").agg(F.max("rows"), F.sum("rows")).first()
-        if most is None:
+        ranges = state.where("side <> 'eq'")
+        most, active, count = ranges.agg(F.max("rows"), F.sum("rows"), F.count("*")).first()
+        if not count:
             break
-        a, b = data.alias("a"), state.where("answer IS NULL").alias("b")
-        live = a.join(b, _same(a, b, on)).where("(b.lo IS NULL OR a.v > b.lo) AND (b.hi IS NULL OR a.v < b.hi)")
-        live = live.select(*[F.col(f"b.{k}").alias(k) for k in keys], "b.t", "a.v", "a.w", "b.p", "b.r", "b.below")
+        live = _within(data, ranges, count)
         if most <= finish:
-            ranked = live.withColumn("upto", F.sum("w").over(Window.partitionBy(*keys, "t").orderBy("v")) + F.col("below"))
-            last = ranked.where("upto > r AND upto - w <= r").select(*keys, "t", F.col("v").alias("got"))
-            a, b = state.alias("a"), last.alias("b")
-            state = a.join(b, _same(a, b, [*keys, "t"]), "left").select(*[F.col(f"a.{k}").alias(k) for k in keys], "a.n", "a.t", F.coalesce("a.answer", "b.got").alias("answer"))
+            order = Window.partitionBy("g", "below").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+            ranked = live.select("g", "n", "below", "targets", "v", "w").withColumn("upto", F.sum("w").over(order) + F.col("below"))
+            answers.append(ranked.select("g", "n", F.col("v").alias("answer"), F.explode(F.expr("filter(targets, x -> upto > x.r AND upto - w <= x.r)")).alias("x")))
             break
-        if stored is None or 2 * active < stored:
+        if stored is not None and 2 * active < stored:
             # The discarded ranges are left behind, so the stored rows shrink as the search goes on.
-            data, on, stored = durable(live.select(*keys, "t", "v", "w")), [*keys, "t"], active
-            a, b = data.alias("a"), state.where("answer IS NULL").alias("b")
-            live = a.join(b, _same(a, b, on)).select(*[F.col(f"b.{k}").alias(k) for k in keys], "b.t", "a.v", "a.w", "b.p", "b.r", "b.below")
-        part = live.groupBy(*keys, "t", F.spark_partition_id().alias("pid")).agg(
+            data = durable(live.select("g", "v", "w"))
+            live = _within(data, ranges, count)
+        stored = active if stored is None or 2 * active < stored else stored
+        part = live.groupBy("g", "below", "p", F.spark_partition_id().alias("pid")).agg(
             F.sum(F.expr("if(v < p, w, 0L)")).alias("lt"),
             F.sum(F.expr("if(v = p, w, 0L)")).alias("eq"),
             F.sum(F.expr("if(v > p, w, 0L)")).alias("gt"),
@@ -84,26 +82,24 @@ def multi_select(values: DataFrame, keys: list[str], value: str = "v", weight: s
             F.percentile_approx(F.expr("if(v < p, v, null)"), 0.5, 200).alias("m_lt"),
             F.percentile_approx(F.expr("if(v > p, v, null)"), 0.5, 200).alias("m_gt"),
         )
-        per = part.groupBy(*keys, "t").agg(
+        per = part.groupBy("g", "below").agg(
             *[F.sum(c).alias(c) for c in ("lt", "eq", "gt", "n_lt", "n_gt")],
             F.collect_list(F.struct(F.col("m_lt").alias("m"), F.col("lt").alias("w"))).alias("props_lt"),
             F.collect_list(F.struct(F.col("m_gt").alias("m"), F.col("gt").alias("w"))).alias("props_gt"),
         )
-        a, b = state.alias("a"), per.alias("b")
-        both = a.join(b, _same(a, b, [*keys, "t"]), "left").select(*[F.col(f"a.{c}").alias(c) for c in state.columns], *[f"b.{c}" for c in per.columns if c not in (*keys, "t")])
-        low, hit = "r < below + lt", "r < below + lt + eq"
-        state = durable(
-            both.withColumn("side", F.expr(f"CASE WHEN answer IS NOT NULL THEN 'done' WHEN {low} THEN 'lt' WHEN {hit} THEN 'eq' ELSE 'gt' END")).select(
-                *keys, "n", "t", "r",
-                F.when(F.col("side") == "lt", _weighted_median("props_lt", "lt")).when(F.col("side") == "gt", _weighted_median("props_gt", "gt")).alias("p"),
-                F.expr("CASE side WHEN 'lt' THEN n_lt WHEN 'gt' THEN n_gt ELSE 0L END").alias("rows"),
-                F.expr("if(side = 'gt', p, lo)").alias("lo"),
-                F.expr("if(side = 'lt', p, hi)").alias("hi"),
-                F.expr("if(side = 'gt', below + lt + eq, below)").alias("below"),
-                F.expr("if(side = 'eq', p, answer)").alias("answer"),
-            )
-        )
-    return state.groupBy(*keys).agg(F.max("n").alias("n"), *[F.max(F.when(F.col("t") == t, F.col("answer"))).alias(t) for t in targets])
+        names = ("side", "lo", "hi", "below", "p", "rows", "targets")
+        split = [
+            (F.lit("lt"), F.col("lo"), F.col("p"), F.col("below"), _weighted_median("props_lt", "lt"), F.col("n_lt"), F.expr("filter(targets, x -> x.r < below + lt)")),
+            (F.lit("eq"), F.col("p"), F.col("p"), F.col("below"), F.col("p"), F.lit(0).cast("long"), F.expr("filter(targets, x -> x.r >= below + lt AND x.r < below + lt + eq)")),
+            (F.lit("gt"), F.col("p"), F.col("hi"), F.expr("below + lt + eq"), _weighted_median("props_gt", "gt"), F.col("n_gt"), F.expr("filter(targets, x -> x.r >= below + lt + eq)")),
+        ]
+        sides = F.inline(F.array(*[F.struct(*[c.alias(n) for c, n in zip(x, names, strict=True)]) for x in split]))
+        state = durable(per.join(ranges.drop("side", "rows"), ["g", "below"]).select("g", "n", sides).where("size(targets) > 0"))
+        answers.append(state.where("side = 'eq'").select("g", "n", F.col("p").alias("answer"), F.explode("targets").alias("x")))
+    found = state.select("g", "n", missing.alias("answer"), F.explode("targets").alias("x")).where("false")
+    for a in answers:
+        found = found.unionByName(a)
+    return found.groupBy("g").agg(F.max("n").alias("n"), *[F.max(F.when(F.col("x.t") == t, F.col("answer"))).alias(t) for t in targets]).select(*[F.col("g")[k].alias(k) for k in keys], "n", *targets)
 
 
 def clean_scores(scores: DataFrame) -> DataFrame:
@@ -113,8 +109,8 @@ def clean_scores(scores: DataFrame) -> DataFrame:
     window_id are left out. `day` is the date of window_start.
     """
     rows = scores.select("window_id", "equipment_id", "labels", F.to_date("window_start").alias("day"), F.col("window_score").cast("double").alias("v"), "scored_at").where("window_id IS NOT NULL AND v IS NOT NULL AND NOT isnan(v)")
-    # Copies mostly differ in scored_at alone: a map-side distinct leaves one row of them, then few are compared.
-    one = rows.groupBy("window_id", "equipment_id", "labels", "day", "v").agg(F.min("scored_at").alias("scored_at"))
+    # One shuffle for both steps. Copies mostly differ in scored_at alone: hashing leaves one row of them, then few are compared.
+    one = rows.repartition("window_id").groupBy("window_id", "equipment_id", "labels", "day", "v").agg(F.min("scored_at").alias("scored_at"))
     return one.groupBy("window_id").agg(F.min(F.struct("scored_at", "v", "equipment_id", "labels", "day")).alias("x")).select("window_id", "x.equipment_id", "x.labels", "x.day", "x.v")
 
 
