@@ -5,7 +5,9 @@ content-defined chunks; those shared across splits sum up to a record's overlap
 can't promise to keep a chunk whole when any value may move by the tolerance or be null, so pairs are found with
 anchored chunks besides: the positions fall into so few groups that two records with enough positions in common share
 four in one group, and the query side looks up every cell that a value within the tolerance may lie in. No near
-pair is missed, and every pair that meets is checked on its values.
+pair is missed. Records that share four cells by chance grow with both sides; digests carry a signature of the other
+positions, so that where they meet such pairs are dropped in the join itself and never travel. Every pair that is
+left is checked on its values.
 
 Exact copies are one class throughout; classes are expanded to records only in the result.
 """
@@ -88,6 +90,30 @@ def anchored_chunks(values: np.ndarray, width: float, tolerance: float, least_co
     return np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out])
 
 
+#: Signatures hold so many positions a number, a byte each: six bits of a value's cell, one that marks it as absent.
+PER_LONG = 7
+_LOW, _SIX, _HIGH, _ABSENT = (int.from_bytes(bytes([b]) * PER_LONG) for b in (0x01, 0x3F, 0x80, 0x40))
+
+
+def signatures(values: np.ndarray, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
+    """Two numbers per row from its first positions, for `alike`. Cells are twice the tolerance wide and counted
+    modulo 64, so values within the tolerance are in the same or a neighbouring cell."""
+    out = []
+    for k in range(2):
+        part = values[:, k * PER_LONG : (k + 1) * PER_LONG]
+        cells = np.where(np.isnan(part), _ABSENT & 0xFF, np.floor(np.nan_to_num(part) / (2 * tolerance + SLACK)) % 64).astype(np.int64)
+        out.append((cells << (8 * np.arange(part.shape[1]))).sum(1))
+    return out[0], out[1]
+
+
+def alike(a: str, b: str) -> str:
+    """SQL: no position of the two signatures, held by both, is more than a cell apart. All positions are compared at
+    once: per byte 1 + a - b modulo 64 is 0, 1 or 2."""
+    r = f"((({a} & {_SIX}L) | {_HIGH}L) - ({b} & {_SIX}L) + {_LOW}L)"
+    held = f"~((({a} | {b}) & {_ABSENT}L) - shiftright(({a} | {b}) & {_ABSENT}L, 6) | (({a} | {b}) & {_ABSENT}L))"
+    return f"((({r} & {_LOW * 0x3C}L) | ({r} & shiftleft({r}, 1) & {_LOW * 0x02}L)) & {held}) = 0"
+
+
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
     """Lists of doubles as a matrix, NaN where a list or an element is null or absent."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
@@ -128,9 +154,10 @@ def _digests(classes: DataFrame, width: int, cell: float, tolerance: float, leas
                 keep = np.ones(len(row), bool)
                 keep[1:] = (row[1:] != row[:-1]) | (digest[1:] != digest[:-1])
                 at = pa.array(row[keep])
-                yield pa.RecordBatch.from_arrays([pa.array(digest[keep].view(np.int64)), b.column(0).take(at), b.column(1).take(at)], names=["digest", "h1", "h2"])
+                signs = [pa.array(s[row[keep]]) for s in signatures(v, tolerance)]
+                yield pa.RecordBatch.from_arrays([pa.array(digest[keep].view(np.int64)), b.column(0).take(at), b.column(1).take(at), *signs], names=["digest", "h1", "h2", "s1", "s2"])
 
-    return classes.select("h1", "h2", "means").mapInArrow(cut, "digest long, h1 long, h2 long")
+    return classes.select("h1", "h2", "means").mapInArrow(cut, "digest long, h1 long, h2 long, s1 long, s2 long")
 
 
 def near(a: str, b: str, tolerance: float, least_common: int) -> str:
@@ -152,10 +179,10 @@ def cross_split_pairs(train: DataFrame, held_out: DataFrame, train_window: str =
     width = max(x or 0 for x in (d.agg(F.max(F.size("means"))).first()[0] for d in (ca, cb)))
     width = max(width, least_common)
     da = _digests(ca, width, cell, tolerance, least_common, False)
-    db = _digests(cb, width, cell, tolerance, least_common, True).withColumnsRenamed({"h1": "g1", "h2": "g2"})
+    db = _digests(cb, width, cell, tolerance, least_common, True).withColumnsRenamed({"h1": "g1", "h2": "g2", "s1": "t1", "s2": "t2"})
     # digests travel without the values; few pairs meet, and only those fetch them
     # (a record makes many digests, which Spark's size estimate doesn't see: the join isn't to be a broadcast)
-    pairs = da.hint("merge").join(db, "digest").select("h1", "h2", "g1", "g2").distinct()
+    pairs = da.hint("merge").join(db, "digest").where(f"{alike('s1', 't1')} AND {alike('s2', 't2')}").select("h1", "h2", "g1", "g2").distinct()
     others = cb.withColumnsRenamed({"h1": "g1", "h2": "g2", "means": "others"})
     met = pairs.join(ca, ["h1", "h2"]).join(others, ["g1", "g2"]).where(near("means", "others", tolerance, least_common)).select("h1", "h2", "g1", "g2")
     member_a = a.select(F.col("record_id").alias("train_id"), "h1", "h2").distinct()

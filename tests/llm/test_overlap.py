@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from plantgauge.llm.overlap import anchored_chunks, content_chunks, cross_split_pairs, overlap_fractions
+from plantgauge.llm.overlap import alike, anchored_chunks, content_chunks, cross_split_pairs, overlap_fractions, signatures
 
 A = "record_id long, equipment_id string, cleaned_window_ids long, sensor_means array<double>, digest string"
 B = "record_id long, equipment_id string, window_ids long, sensor_means array<double>, digest string"
@@ -93,3 +93,20 @@ def test_fractions(spark):
     same = [float(i) for i in range(16)]
     one = overlap_fractions(spark.createDataFrame([(1, "E", 1, same, "d")], A), spark.createDataFrame([(2, "E", 2, same, "d")], B)).first()
     assert one.fraction == 1.0
+
+
+def test_signatures_keep_what_is_near(spark):
+    rng = np.random.default_rng(8)
+    x = rng.uniform(-40, 90, (3000, 16))
+    y = x + rng.uniform(-0.05, 0.05, x.shape)
+    y[1000:2000, 3] += rng.choice([-1, 1], 1000) * rng.uniform(0.25, 6.0, 1000)  # out of the neighbouring cells
+    y[2000:] = rng.uniform(-40, 90, (1000, 16))
+    for v in (x, y):
+        v[rng.random(v.shape) < 0.1] = np.nan
+    (a1, a2), (b1, b2) = signatures(x, 0.05), signatures(y, 0.05)
+    df = spark.createDataFrame([(i, *map(int, r)) for i, r in enumerate(zip(a1, a2, b1, b2, strict=True))], "i int, s1 long, s2 long, t1 long, t2 long")
+    got = {r.i for r in df.where(f"{alike('s1', 't1')} AND {alike('s2', 't2')}").collect()}
+    cell = lambda v: np.floor(v / 0.1) % 64
+    off = (cell(x) - cell(y))[:, :14] % 64
+    want = set(np.flatnonzero((np.isin(off, (0, 1, 63)) | np.isnan(off)).all(1)))
+    assert got == want and got >= set(range(1000)) and len(got & set(range(2000, 3000))) < 5
