@@ -54,20 +54,24 @@ def time_holdout(rows: DataFrame, share: float = 0.8, time: str = "us", key: str
     return rows.join(cut, F.col(key).eqNullSafe(F.col("_key"))).withColumn("held_out", F.col(time) > F.col("_cut")).drop("_key", "_cut")
 
 
-def wavelet_contamination(rows: DataFrame, sensor: str, times: float = 3.0, levels: int = 3, block: int = 4096, key: str = KEY) -> DataFrame:
-    """(key, n, contamination): share of values with a detail coefficient over `times` robust scales, by blocks of
-    rows in order of row_pos."""
+def wavelet_contamination(rows: DataFrame, sensors: list[str], times: float = 3.0, levels: int = 3, block: int = 4096, key: str = KEY) -> DataFrame:
+    """(key, sensor, n, contamination): share of values with a detail coefficient over `times` robust scales, by blocks
+    of rows in order of row_pos."""
     kind = rows.schema[key].dataType.simpleString()
 
     def judge(g: pd.DataFrame) -> pd.DataFrame:
-        x = g.sort_values("row_pos")["x"].dropna().to_numpy()
-        off = np.zeros(len(x), bool)
-        for d in wavelet_details(x, levels) if len(x) > 2 else []:
-            off |= np.abs(d) > times * max(robust_scale(d), 1e-12)
-        return pd.DataFrame({key: [g[key].iloc[0]], "n": [len(x)], "off": [int(off.sum())]})
-
-    parts = rows.select(key, "row_pos", F.col(sensor).alias("x"), F.expr(f"row_pos div {block}").alias("_blk")).groupBy(key, "_blk").applyInPandas(judge, f"{key} {kind}, n long, off long")
-    return parts.groupBy(key).agg(F.sum("n").alias("n"), (F.sum("off") / F.nullif(F.sum("n"), F.lit(0))).alias("contamination"))
+        g, n, found = g.sort_values("row_pos"), [], []
+        for s in sensors:
+            x = g[s].dropna().to_numpy()
+            off = np.zeros(len(x), bool)
+            for d in wavelet_details(x, levels) if len(x) > 2 else []:
+                off |= np.abs(d) > times * max(robust_scale(d), 1e-12)
+            n.append(len(x))
+            found.append(int(off.sum()))
+        return pd.DataFrame({key: [g[key].iloc[0]] * len(sensors), "sensor": sensors, "n": n, "off": found})
+
+    parts = rows.select(key, "row_pos", *sensors, F.expr(f"row_pos div {block}").alias("_blk")).groupBy(key, "_blk").applyInPandas(judge, f"{key} {kind}, sensor string, n long, off long")
+    return parts.groupBy(key, "sensor").agg(F.sum("n").alias("n"), (F.sum("off") / F.nullif(F.sum("n"), F.lit(0))).alias("contamination"))
 
 
 def compare_correlations(a: np.ndarray, b: np.ndarray) -> tuple[float, float, float]:

@@ -102,7 +102,7 @@ def synthetic_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def correlation_change(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(legacy.correlation_change(window_rows(spark, d), SENSORS[:4], 48))
+    return rounded(legacy.correlation_change(window_rows(spark, d), SENSORS, 48))
 
 
 def plain_scaler(spark: SparkSession, d: str) -> DataFrame:
@@ -111,7 +111,7 @@ def plain_scaler(spark: SparkSession, d: str) -> DataFrame:
 
 def legacy_rows(spark: SparkSession, d: str) -> DataFrame:
     """Rows left per machine by the earlier row filter."""
-    rows, _ = legacy.cleaned_rows(window_rows(spark, d), F.col("sensor_00") > 50, SENSORS[:5], 50.0, [])
+    rows, _ = legacy.cleaned_rows(window_rows(spark, d), F.col("sensor_00") > 50, SENSORS, 50.0, [])
     return rows.groupBy(EQ).agg(F.count("*").alias("n_rows"))
 
 
@@ -120,7 +120,7 @@ def time_holdout(spark: SparkSession, d: str) -> DataFrame:
 
 
 def wavelet_contamination(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(legacy.wavelet_contamination(window_rows(spark, d), "sensor_00"))
+    return rounded(legacy.wavelet_contamination(window_rows(spark, d), SENSORS))
 
 
 QUERIES = {
@@ -131,7 +131,7 @@ QUERIES = {
     )
 }
 
-_PAIRS = [(a, b) for i, a in enumerate(SENSORS[:4]) for b in SENSORS[i + 1 : 4]]
+_PAIRS = [(a, b) for i, a in enumerate(SENSORS) for b in SENSORS[i + 1 :]]
 
 
 def _corr(a: str, b: str) -> str:
@@ -154,6 +154,6 @@ SELECT equipment_id, window_id, round(avg(r2), 6) AS mse, round(avg(z2), 6) AS m
 l AS (SELECT *, lag(period) OVER o AS before, {", ".join(f"lag(c{k}) OVER o AS l{k}" for k in range(len(_PAIRS)))} FROM c WINDOW o AS (PARTITION BY equipment_id ORDER BY period))
 SELECT equipment_id, period, n_rows, round(CASE WHEN before IS NOT NULL THEN sqrt(2 * ({" + ".join(f"(c{k} - l{k}) ** 2" for k in range(len(_PAIRS)))})) END, 6) AS change FROM l""",
     "plain_scaler": ROWS + "SELECT equipment_id, sensor, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, round(min(value), 6) AS low, round(max(value), 6) AS high FROM long GROUP BY ALL",
-    "legacy_rows": ROWS + f"SELECT equipment_id, count(*) AS n_rows FROM (SELECT DISTINCT equipment_id, {', '.join(SENSORS[:5])} FROM win WHERE sensor_00 > 50 AND {' AND '.join(s + ' IS NOT NULL' for s in SENSORS[:5])}) GROUP BY ALL",
+    "legacy_rows": ROWS + f"SELECT equipment_id, count(*) AS n_rows FROM (SELECT DISTINCT equipment_id, {', '.join(SENSORS)} FROM win WHERE sensor_00 > 50 AND {' AND '.join(s + ' IS NOT NULL' for s in SENSORS)}) GROUP BY ALL",
     "time_holdout": ROWS + ", q AS (SELECT equipment_id, quantile_cont(us::DOUBLE, 0.8) AS c FROM win GROUP BY ALL) SELECT equipment_id, count(*) FILTER (us > c) AS n_held_out, count(*) AS n_rows FROM win JOIN q USING (equipment_id) GROUP BY ALL",
 }
