@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,14 +30,29 @@ def micros(df: DataFrame, name: str) -> Column:
 def durable(df: DataFrame, eager: bool = True) -> DataFrame:
     """`df` written to the shared checkpoint folder and read back, so that it survives the loss of executors.
 
-    The folder is spark.checkpoint.dir; only where that is unset (tests on one machine) a temporary one is made.
+    The folder is spark.checkpoint.dir; only where that is unset on one machine a temporary one is made.
     """
-    sc = df.sparkSession.sparkContext
-    if sc.getConf().get("spark.checkpoint.dir") is None and sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
+    _shared(df.sparkSession)
     return df.checkpoint(eager)
 
 
+def _shared(spark: SparkSession) -> str:
+    """The folder that all machines see: of spark.checkpoint.dir, which is set for the context if it wasn't."""
+    sc = spark.sparkContext
+    named, used = sc.getConf().get("spark.checkpoint.dir"), sc._jsc.sc().getCheckpointDir()
+    if used.isEmpty():
+        if named is None and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all machines of the cluster see")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
+        used = sc._jsc.sc().getCheckpointDir()
+    return used.get()
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for written tables, beside the checkpoints."""
+    return f"{_shared(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def finite(c: Column | str) -> Column:
     """The value, or null where it is NaN or infinite."""
     c = F.col(c) if isinstance(c, str) else c
@@ -66,4 +82,4 @@ def spread_out(df: DataFrame) -> DataFrame:
     return df.repartition(3 * cores) if df.rdd.getNumPartitions() < cores else df
 
 
-__all__ = ["BROADCAST_BOUND", "durable", "estimated_bytes", "finite", "micros", "small", "spread", "spread_out", "table"]
+__all__ = ["BROADCAST_BOUND", "durable", "estimated_bytes", "finite", "micros", "shared_folder", "small", "spread", "spread_out", "table"]
