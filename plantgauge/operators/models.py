@@ -7,6 +7,7 @@ weights; samples for fits have bounds that are parameters.
 
 from __future__ import annotations
 
+import copy
 import math
 from collections.abc import Iterator
 
@@ -332,93 +333,140 @@ class Network:
         return float(((self.forward(x)[0] - x) ** 2).mean()) if len(x) else float("nan")
 
 
-def train_network(net: Network, train: np.ndarray, val: np.ndarray, epochs: int = 50, batch: int = 256, rate: float = 1e-3, decay: float = 1e-5, patience: int = 10) -> list[dict]:
-    """Adam with L2, halved rate on a plateau, early stop; the best epoch's weights are kept. Returns the history."""
-    m = [np.zeros_like(p) for p in (*net.w, *net.b)]
-    v = [np.zeros_like(p) for p in (*net.w, *net.b)]
-    best, kept, since, step, history = math.inf, None, 0, 0, []
-    for epoch in range(epochs):
-        losses = []
-        order = net.rng.permutation(len(train))
+class Adam:
+    """Adam with L2 over a network's weights; its state can be averaged over partitions like the weights."""
+
+    def __init__(self, net: Network):
+        self.m = [np.zeros_like(p) for p in (*net.w, *net.b)]
+        self.v = [np.zeros_like(p) for p in (*net.w, *net.b)]
+        self.step = 0
+
+    def epoch(self, net: Network, x: np.ndarray, batch: int, rate: float, decay: float, rng: np.random.Generator) -> list[float]:
+        """One pass over the rows in mini-batches of random order; the loss before each step."""
+        losses, order = [], rng.permutation(len(x))
         for at in range(0, len(order), batch):
-            loss, gw, gb = net.gradients(train[order[at : at + batch]])
+            loss, gw, gb = net.gradients(x[order[at : at + batch]])
             losses.append(loss)
-            step += 1
-            for i, (p, g) in enumerate(zip((*net.w, *net.b), (*gw, *gb), strict=True)):
+            self.step += 1
+            for p, g, m, v in zip((*net.w, *net.b), (*gw, *gb), self.m, self.v, strict=True):
                 g = g + decay * p
-                m[i] = 0.9 * m[i] + 0.1 * g
-                v[i] = 0.999 * v[i] + 0.001 * g * g
-                p -= rate * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.999**step)) + 1e-8)
-        held = net.loss(val)
-        history.append({"epoch": epoch, "train_loss": float(np.mean(losses)), "val_loss": held, "rate": rate})
-        if held < best - 1e-12:
-            best, kept, since = held, [p.copy() for p in (*net.w, *net.b)], 0
-        else:
-            since += 1
-            if since % 5 == 0:
-                rate /= 2
-            if since >= patience:
-                break
-    if kept:
-        net.w, net.b = kept[: len(net.w)], kept[len(net.w) :]
-    return history
-
-
-def fit_network(rows: DataFrame, sensors: list[str], split: str = "split", latent: int = 3, fit_rows: int = 50_000, seed: int = 42, **options) -> tuple[Network, list[dict]]:
-    """A network trained on the driver over a sample of at most `fit_rows` scaled rows per split, by hash."""
-    held = rows.where(F.col(split).isin("train", "val")).dropna(subset=sensors)
-    n = {r[split]: r["count"] for r in held.groupBy(split).count().collect()}
-    share = F.create_map(*[F.lit(x) for k in ("train", "val") for x in (k, min(1.0, fit_rows / max(n.get(k, 0), 1)))])
-    place = F.pmod(F.xxhash64(*sensors, F.lit(seed)), F.lit(1 << 20)) / F.lit(float(1 << 20))
-    sample = held.where(place < share[F.col(split)]).select(split, *sensors).orderBy(*sensors).toPandas()
-    parts = [sample.loc[sample[split] == k, sensors].to_numpy(float)[:fit_rows] for k in ("train", "val")]
-    net = Network(len(sensors), latent, seed=seed)
-    return net, train_network(net, *parts, **options)
+                m *= 0.9
+                m += 0.1 * g
+                v *= 0.999
+                v += 0.001 * g * g
+                p -= rate * (m / (1 - 0.9**self.step)) / (np.sqrt(v / (1 - 0.999**self.step)) + 1e-8)
+        return losses
+
+
+class Progress:
+    """Early stop, halved rate on a plateau, and the best weights so far of one network in training."""
+
+    def __init__(self, net: Network, rate: float, patience: int):
+        self.net, self.rate, self.patience = net, rate, patience
+        self.best, self.kept, self.since, self.history = math.inf, None, 0, []
+
+    def goes_on(self, train_loss: float, val_loss: float) -> bool:
+        """Takes in what an epoch came to; False if training is to end."""
+        self.history.append({"epoch": len(self.history), "train_loss": train_loss, "val_loss": val_loss, "rate": self.rate})
+        if val_loss < self.best - 1e-12:
+            self.best, self.kept, self.since = val_loss, [p.copy() for p in (*self.net.w, *self.net.b)], 0
+            return True
+        self.since += 1
+        if self.since % 5 == 0:
+            self.rate /= 2
+        return self.since < self.patience
+
+    def finish(self) -> list[dict]:
+        if self.kept:
+            self.net.w, self.net.b = self.kept[: len(self.net.w)], self.kept[len(self.net.w) :]
+        return self.history
 
 
-def fit_network_everywhere(rows: DataFrame, sensors: list[str], latent: int = 3, steps: int = 30, rate: float = 1e-2, decay: float = 0.0, seed: int = 42) -> tuple[Network, list[float]]:
-    """A network trained on all rows by data-parallel steps: each partition sums its gradients, and the driver adds the
-    partitions' sums (one row each) and steps. Returns the network and the loss before each step.
+def train_network(net: Network, train: np.ndarray, val: np.ndarray, epochs: int = 50, batch: int = 256, rate: float = 1e-3, decay: float = 1e-5, patience: int = 10) -> list[dict]:
+    """Mini-batches of Adam on arrays in memory; the best epoch's weights are kept. Returns the history."""
+    adam, progress = Adam(net), Progress(net, rate, patience)
+    for _ in range(epochs):
+        losses = adam.epoch(net, train, batch, progress.rate, decay, net.rng)
+        if not progress.goes_on(float(np.mean(losses)), net.loss(val)):
+            break
+    return progress.finish()
+
+
+def fit_networks(rows: DataFrame, sensors: list[str], nets: list[Network], rates: list[float], split: str = "split", epochs: int = 150, batch: int = 256, decay: float = 1e-5, patience: int = 10, seed: int = 42) -> list[list[dict]]:
+    """Trains networks in place, side by side, on all rows of the splits `train` and `val` that hold every sensor.
+
+    An epoch is one pass: each partition takes its training rows in mini-batches from the common weights on, and the
+    partitions' weights and optimiser states are averaged by their rows (iterative parameter mixing). The same pass
+    tells the validation loss of the weights that it began with, so the history of an epoch is complete after the
+    next. The driver gets one row of weights per partition and network, whatever the number of rows.
     """
     spark = rows.sparkSession
-    held = rows.dropna(subset=sensors).select(*sensors).persist()
-    net = Network(len(sensors), latent, seed=seed)
-    shapes = [p.shape for p in (*net.w, *net.b)]
-    m, v = (np.zeros(sum(int(np.prod(s)) for s in shapes)) for _ in range(2))
-    losses = []
+    held = rows.where(F.col(split).isin("train", "val")).dropna(subset=sensors).select((F.col(split) == "train").alias("_train"), *[F.col(s).cast("double") for s in sensors]).persist()
+    adams = [Adam(n) for n in nets]
+    progress = [Progress(n, r, patience) for n, r in zip(nets, rates, strict=True)]
+    losses: list[float] = [math.nan] * len(nets)
+    live = list(range(len(nets)))
+    schema = "i int, n long, loss double, n_val long, val_loss double, step long, state array<double>"
     try:
-        for step in range(1, steps + 1):
-            shared = spark.sparkContext.broadcast(net)
+        for epoch in range(epochs + 1):
+            shared = spark.sparkContext.broadcast([(i, nets[i], adams[i], progress[i].rate) for i in live])
 
-            def part(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-                net, n, loss, total = shared.value, 0, 0.0, None
+            def part(batches: Iterator[pa.RecordBatch], shared=shared, epoch=epoch) -> Iterator[pa.RecordBatch]:
+                from pyspark import TaskContext
+
+                rng = np.random.default_rng((seed, epoch, TaskContext.get().partitionId()))
+                before = shared.value
+                work = copy.deepcopy(before)
+                told = {i: [0, 0.0, 0, 0.0] for i, *_ in work}
                 for b in batches:
-                    if b.num_rows:
-                        x = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns], 1)
-                        one, gw, gb = net.gradients(x)
-                        g = np.concatenate([p.ravel() for p in (*gw, *gb)]) * len(x)
-                        n, loss, total = n + len(x), loss + one * len(x), g if total is None else total + g
-                if n:
-                    yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([loss]), pa.array([total], pa.list_(pa.float64()))], names=["n", "loss", "g"])
-
-            sums = held.mapInArrow(part, "n long, loss double, g array<double>").collect()
+                    if not b.num_rows:
+                        continue
+                    train = b.column(0).to_numpy(zero_copy_only=False)
+                    x = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns[1:]], 1)
+                    for (i, net, adam, rate), (_, old, *_) in zip(work, before, strict=True):
+                        t = told[i]
+                        if (~train).any():
+                            t[2] += int((~train).sum())
+                            t[3] += old.loss(x[~train]) * int((~train).sum())
+                        if train.any() and epoch < epochs:
+                            net.rng = rng
+                            t[0] += int(train.sum())
+                            t[1] += float(np.mean(adam.epoch(net, x[train], batch, rate, decay, rng))) * int(train.sum())
+                out = [(i, *told[i], adam.step, np.concatenate([p.ravel() for p in (*net.w, *net.b, *adam.m, *adam.v)])) for i, net, adam, _ in work if told[i][0] or told[i][2]]
+                if out:
+                    columns = zip(*out, strict=True)
+                    kinds = (pa.int32(), pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.int64(), pa.list_(pa.float64()))
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["i", "n", "loss", "n_val", "val_loss", "step", "state"])
+
+            got = held.mapInArrow(part, schema).collect()
             shared.unpersist()
-            if not sums:
+            for i in list(live):
+                mine = [r for r in got if r.i == i]
+                n, n_val = sum(r.n for r in mine), sum(r.n_val for r in mine)
+                if epoch and not progress[i].goes_on(losses[i], sum(r.val_loss for r in mine) / n_val if n_val else math.nan):
+                    live.remove(i)
+                    continue
+                if not n:
+                    live.remove(i)
+                    continue
+                losses[i] = sum(r.loss for r in mine) / n
+                flat = np.sum([np.asarray(r.state) * (r.n / n) for r in mine if r.n], axis=0)
+                adams[i].step = max(r.step for r in mine)
+                at = 0
+                for p in (*nets[i].w, *nets[i].b, *adams[i].m, *adams[i].v):
+                    p[...] = flat[at : at + p.size].reshape(p.shape)
+                    at += p.size
+            if not live:
                 break
-            n = sum(r.n for r in sums)
-            losses.append(sum(r.loss for r in sums) / n)
-            flat = np.concatenate([p.ravel() for p in (*net.w, *net.b)])
-            g = np.sum([r.g for r in sums], axis=0) / n + decay * flat
-            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-            flat -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-            at, parts = 0, []
-            for s in shapes:
-                parts.append(flat[at : at + int(np.prod(s))].reshape(s))
-                at += int(np.prod(s))
-            net.w, net.b = parts[: len(net.w)], parts[len(net.w) :]
     finally:
         held.unpersist()
-    return net, losses
+    return [p.finish() for p in progress]
+
+
+def fit_network_everywhere(rows: DataFrame, sensors: list[str], latent: int = 3, rate: float = 1e-3, seed: int = 42, **options) -> tuple[Network, list[dict]]:
+    """One network trained on all rows; see `fit_networks`."""
+    net = Network(len(sensors), latent, seed=seed)
+    return net, fit_networks(rows, sensors, [net], [rate], seed=seed, **options)[0]
 
 
 def network_errors(rows: DataFrame, sensors: list[str], net: Network, key: str = KEY) -> DataFrame:
@@ -436,27 +484,13 @@ def network_errors(rows: DataFrame, sensors: list[str], net: Network, key: str =
     return rows.dropna(subset=sensors).select(key, "window_id", "row_in_window", *sensors).mapInArrow(run, f"{key} {kind}, window_id long, row_in_window int, row_error double")
 
 
-def grid_search(rows: DataFrame, sensors: list[str], latents: tuple[int, ...] = (2, 3, 4), rates: tuple[float, ...] = (1e-3, 3e-3), dropouts: tuple[float, ...] = (0.0, 0.1), split: str = "split", fit_rows: int = 20_000, **options) -> DataFrame:
-    """(latent, rate, dropout, val_loss, best): each combination trained in a task of its own on one shared sample of
-    at most `fit_rows` rows per split; the first of equal losses is best."""
-    spark = rows.sparkSession
-    held = rows.where(F.col(split).isin("train", "val")).dropna(subset=sensors).select(split, *sensors)
-    n = max((r["count"] for r in held.groupBy(split).count().collect()), default=1)
-    sample = held.where(F.pmod(F.xxhash64(*sensors), F.lit(1 << 20)) < int(min(1.0, fit_rows / n) * (1 << 20))).orderBy(*sensors).toPandas()
-    shared = spark.sparkContext.broadcast([sample.loc[sample[split] == k, sensors].to_numpy(float) for k in ("train", "val")])
-    combos = [(i, a, b, c) for i, (a, b, c) in enumerate((a, b, c) for a in latents for b in rates for c in dropouts)]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        train, val = shared.value
-        for b in batches:
-            out = []
-            for r in b.itertuples():
-                net = Network(len(sensors), int(r.latent), dropout=r.dropout)
-                history = train_network(net, train, val, rate=r.rate, **options)
-                out.append(min((h["val_loss"] for h in history), default=float("nan")))
-            yield b.assign(val_loss=out)
-
-    schema = "i int, latent int, rate double, dropout double"
-    tried = spark.createDataFrame(combos, schema).repartition(len(combos)).mapInPandas(run, f"{schema}, val_loss double")
-    first = F.row_number().over(Window.orderBy("val_loss", "i"))  # one row per combination
-    return tried.withColumn("best", first == 1).drop("i")
+def grid_search(rows: DataFrame, sensors: list[str], latents: tuple[int, ...] = (2, 3, 4), rates: tuple[float, ...] = (1e-3, 3e-3), dropouts: tuple[float, ...] = (0.0, 0.1), **options) -> DataFrame:
+    """(latent, rate, dropout, epochs, val_loss, best): all combinations trained side by side on all rows, each until
+    it stops by itself; the first of equal losses is best."""
+    combos = [(a, b, c) for a in latents for b in rates for c in dropouts]
+    nets = [Network(len(sensors), a, dropout=c) for a, _, c in combos]
+    histories = fit_networks(rows, sensors, nets, [b for _, b, _ in combos], **options)
+    losses = [min((h["val_loss"] for h in history), default=math.nan) for history in histories]
+    first = int(np.nanargmin(losses)) if not np.isnan(losses).all() else -1
+    tried = [(*combo, len(h), x, i == first) for i, (combo, h, x) in enumerate(zip(combos, histories, losses, strict=True))]
+    return rows.sparkSession.createDataFrame(tried, "latent int, rate double, dropout double, epochs int, val_loss double, best boolean")

@@ -79,14 +79,14 @@ def residual_statistics(spark: SparkSession, d: str) -> DataFrame:
 def network_windows(spark: SparkSession, d: str) -> DataFrame:
     """Window scores of a reconstruction network trained on the first 70 % of each machine's rows."""
     rows = scaled_rows(spark, d).withColumn("split", F.expr("CASE WHEN row_pos < floor(n_rows * 0.7D) THEN 'train' WHEN row_pos < floor(n_rows * 0.85D) THEN 'val' ELSE 'test' END"))
-    net, _ = models.fit_network_everywhere(rows.where("split = 'train'"), SENSORS, latent=3, steps=150, decay=1e-5)
+    net, _ = models.fit_network_everywhere(rows, SENSORS, latent=3)
     errors = models.network_errors(rows, SENSORS, net)
     return rounded(errors.groupBy(EQ, "window_id").agg(F.count("*").alias("n_rows"), F.percentile("row_error", 0.95).alias("score")))
 
 
 def network_grid(spark: SparkSession, d: str) -> DataFrame:
     rows = scaled_rows(spark, d).withColumn("split", F.expr("CASE WHEN row_pos < floor(n_rows * 0.7D) THEN 'train' WHEN row_pos < floor(n_rows * 0.85D) THEN 'val' ELSE 'test' END"))
-    return rounded(models.grid_search(rows, SENSORS, (2, 3), (3e-3,), (0.0, 0.1), fit_rows=2000, epochs=3))
+    return rounded(models.grid_search(rows, SENSORS, epochs=50))
 
 
 def synthetic_summary(spark: SparkSession, d: str) -> DataFrame:

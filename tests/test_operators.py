@@ -298,12 +298,45 @@ def test_network_learns_and_is_repeatable():
     assert gw[0][1, 2] == pytest.approx((up - down) / (2 * h), rel=1e-3, abs=1e-7)
 
 
-def test_data_parallel_training_lowers_the_loss(spark):
+def trained_rows(spark, n=300):
     rng = np.random.default_rng(15)
-    x = rng.normal(size=(300, 2)) @ rng.normal(size=(2, 4))
-    df = spark.createDataFrame([tuple(float(v) for v in r) for r in x], "a double, b double, c double, d double").repartition(3)
-    _, losses = models.fit_network_everywhere(df, ["a", "b", "c", "d"], latent=2, steps=12, rate=0.05)
-    assert len(losses) == 12 and losses[-1] < 0.7 * losses[0]
+    x = rng.normal(size=(n, 2)) @ rng.normal(size=(2, 4))
+    rows = [("val" if i % 5 == 0 else "train", *map(float, r)) for i, r in enumerate(x)]
+    rows += [("train", None, 1.0, 1.0, 1.0), ("test", 9e9, 1.0, 1.0, 1.0), (None, 9e9, 1.0, 1.0, 1.0)]
+    return x, spark.createDataFrame(rows, "split string, a double, b double, c double, d double")
+
+
+def test_data_parallel_training_lowers_the_loss(spark):
+    _, df = trained_rows(spark)
+    net, history = models.fit_network_everywhere(df.repartition(3), ["a", "b", "c", "d"], latent=2, epochs=40, rate=0.02, batch=32)
+    assert 10 < len(history) <= 40 and min(h["val_loss"] for h in history) < 0.3 * history[0]["val_loss"]
+    x, _ = trained_rows(spark)
+    assert net.loss(x[::5]) == pytest.approx(min(h["val_loss"] for h in history))  # the best weights, on all validation rows
+
+
+def test_one_partition_trains_as_arrays_do(spark):
+    x, df = trained_rows(spark)
+    net, history = models.fit_network_everywhere(df.coalesce(1), ["a", "b", "c", "d"], latent=2, epochs=4, batch=32)
+    own = models.Network(4, 2, seed=42)
+    adam, train, val = models.Adam(own), np.delete(x, slice(None, None, 5), 0), x[::5]
+    for e, h in enumerate(history):
+        losses = adam.epoch(own, train, 32, 1e-3, 1e-5, np.random.default_rng((42, e, 0)))
+        assert h["train_loss"] == pytest.approx(np.mean(losses)) and h["val_loss"] == pytest.approx(own.loss(val))
+    assert len(history) == 4 and all(np.allclose(a, b) for a, b in zip(net.w, own.w, strict=True))
+
+
+def test_training_without_rows_and_early_stop(spark):
+    _, df = trained_rows(spark)
+    assert models.fit_network_everywhere(df.where("split = 'none'"), ["a", "b", "c", "d"], latent=2, epochs=3)[1] == []
+    _, history = models.fit_network_everywhere(df, ["a", "b", "c", "d"], latent=2, epochs=30, rate=0.0, patience=4)
+    assert len(history) == 5  # nothing gets better after the first
+
+
+def test_grid_of_networks_over_all_rows(spark):
+    _, df = trained_rows(spark)
+    grid = models.grid_search(df, ["a", "b", "c", "d"], (1, 2), (1e-3, 2e-2), (0.0,), epochs=15, batch=32).collect()
+    assert [(r.latent, r.rate) for r in grid] == [(1, 1e-3), (1, 2e-2), (2, 1e-3), (2, 2e-2)]
+    assert [r.best for r in grid] == [r.val_loss == min(g.val_loss for g in grid) for r in grid] and grid[3].best
 
 
 def test_splits(spark):

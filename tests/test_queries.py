@@ -1,5 +1,6 @@
 """Every registered query of the core against its SQL on the smallest data set, and at another partitioning."""
 
+import inspect
 import os
 
 import pytest
@@ -48,12 +49,11 @@ def test_models_are_fitted_whole(spark, monkeypatch):
 
     given = {}
     real = models.fit_network_everywhere
-    monkeypatch.setattr(models, "fit_network", None)  # it trains on a sample
-    monkeypatch.setattr(models, "fit_network_everywhere", lambda rows, *a, **kw: given.update(rows=rows.dropna(subset=SENSORS).count(), **kw) or real(rows, *a, **(kw | {"steps": 1})))
+    monkeypatch.setattr(models, "fit_network_everywhere", lambda rows, *a, **kw: given.update(rows=rows.where("split = 'train'").dropna(subset=SENSORS).count(), **kw) or real(rows, *a, **(kw | {"epochs": 1})))
     larger = SF.replace("0.001", "0.01")  # the smallest has no complete training rows
     plans.network_windows(spark, larger)
     trained = plans.scaled_rows(spark, larger).where("row_pos < floor(n_rows * 0.7D)").dropna(subset=SENSORS).count()
-    assert given["rows"] == trained > 0 and given["steps"] == 150
+    assert given["rows"] == trained > 0 and "epochs" not in given and inspect.signature(models.fit_networks).parameters["epochs"].default == 150
     starts = []
     monkeypatch.setattr(models, "regimes", lambda rows, *a, **kw: starts.append(kw.get("starts", 10)) or rows.withColumn("regime", rows["window_id"]))
     plans.window_regimes(spark, SF)
