@@ -80,25 +80,28 @@ def ks_p_value(statistic: float, n: int, m: int) -> float:
     return min(1.0, max(0.0, 2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * x * x) for k in range(1, 101))))
 
 
-def gpd_fit(excess: np.ndarray) -> tuple[float, float]:
-    """(shape, scale) of a generalised Pareto distribution by maximum likelihood.
+def gpd_fit(excess: np.ndarray, counts: np.ndarray | None = None) -> tuple[float, float]:
+    """(shape, scale) of a generalised Pareto distribution by maximum likelihood; `counts` says how often each excess
+    occurs.
 
     The profile likelihood in theta = shape / scale has one unknown; it is searched on a grid and then refined.
     """
     x = np.asarray(excess, float)
-    x = x[x > 0]
-    top, mean = x.max(), x.mean()
+    weight = np.ones(len(x)) if counts is None else np.asarray(counts, float)
+    x, weight = x[x > 0], weight[x > 0]
+    n = weight.sum()
+    top, mean = x.max(), float(x @ weight / n)
 
     def profile(theta: float) -> tuple[float, float]:
         inside = 1 + theta * x
         if (inside <= 0).any():
             return -np.inf, 0.0
         if abs(theta) < 1e-12:
-            return -len(x) * (math.log(mean) + 1), 0.0
-        shape = float(np.log(inside).mean())
+            return -n * (math.log(mean) + 1), 0.0
+        shape = float(np.log(inside) @ weight / n)
         if shape / theta <= 0 or shape <= -1:
             return -np.inf, shape
-        return -len(x) * (math.log(shape / theta) + shape + 1), shape
+        return -n * (math.log(shape / theta) + shape + 1), shape
 
     grid = np.concatenate((-(1 - np.geomspace(1e-4, 0.999, 80)) / top, [0.0], np.geomspace(1e-4, 1e3, 160) / mean))
     grid.sort()

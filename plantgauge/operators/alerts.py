@@ -6,9 +6,13 @@ collapsed within blocks, and only runs that touch a block's edge meet their neig
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..functions.ranks import cumulative
 from .windows import overlapped
 
 SEVERITY = {"green": 0, "yellow": 1, "red": 2}
@@ -112,8 +116,11 @@ def episode_stats(found: DataFrame, active: DataFrame, keys: list[str], start: s
     `active` is (<keys>, n_active) of active windows per key.
     """
     hours = (F.unix_micros(F.col(end).cast("timestamp")) - F.unix_micros(F.col(start).cast("timestamp"))) / 3.6e9
-    stats = found.withColumn("_h", hours).groupBy(*keys).agg(F.count("*").alias("n_episodes"), F.min("_h").alias("min_h"), F.sort_array(F.collect_list("_h")).alias("_d"), F.max("_h").alias("max_h"))
-    return stats.join(active, keys, "left").select(*keys, "n_episodes", F.coalesce("n_active", F.lit(0)).alias("n_active"), "min_h", F.expr("_d[cast(size(_d) div 2 as int)]").alias("median_h"), "max_h")
+    counts = found.groupBy(*keys, hours.alias("_h")).agg(F.count("*").alias("_c"))
+    ranked = cumulative(counts, keys, "_h", ["_c"])
+    upper = F.min(F.when(F.col("_c_upto") > F.floor(F.col("_c_all") / 2), F.col("_h")))
+    stats = ranked.groupBy(*keys).agg(F.max("_c_all").alias("n_episodes"), F.min("_h").alias("min_h"), upper.alias("median_h"), F.max("_h").alias("max_h"))
+    return stats.join(active, keys, "left").select(*keys, "n_episodes", F.coalesce("n_active", F.lit(0)).alias("n_active"), "min_h", "median_h", "max_h")
 
 
 def near_events(windows: DataFrame, keys: list[str], event: Column, k: int, pos: str = "pos") -> DataFrame:
@@ -135,24 +142,48 @@ def startup_margin(windows: DataFrame, keys: list[str], running: Column, k: int,
 def smoothed(scores: DataFrame, keys: list[str], score: str = "score", factor: float = 0.2, pos: str = "pos", block: int = 4096) -> DataFrame:
     """`scores` with ewma: a[0] = x[0], a[i] = factor * x[i] + (1 - factor) * a[i-1]; a null x keeps a.
 
-    Blocks are folded each as (decay, sum), the blocks' pairs are combined per key, and the blocks are folded again
-    from what they start with.
+    Three passes: each block of positions is folded to (decay, sum); the folds are chained per key, one small row per
+    block; and each block is run again from what it starts with.
     """
-    blocked = scores.withColumn("_blk", F.expr(f"{pos} div {block}"))
-    order = Window.partitionBy(*keys, "_blk").orderBy(pos)
-    # a[i] is linear in what comes before: the fold runs over the block's values so far, a bounded list
-    folded = F.expr(
-        f"aggregate(_xs, named_struct('d', 1D, 's', cast(null as double)), (a, x) -> if(x IS NULL, a, if(a.s IS NULL, named_struct('d', a.d * {1 - factor}D, 's', {factor}D * x), named_struct('d', a.d * {1 - factor}D, 's', {factor}D * x + {1 - factor}D * a.s))))"
-    )
-    part = blocked.groupBy(*keys, "_blk").agg(F.transform(F.sort_array(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(score).alias("x")))), lambda v: v.x).alias("_xs")).withColumn("_f", folded)
-    ahead = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
-    chain = F.aggregate(
-        F.collect_list(F.struct(F.col("_f.d").alias("d"), F.col("_f.s").alias("s"), F.element_at(F.filter("_xs", lambda v: v.isNotNull()), 1).alias("x0"))).over(ahead),
-        F.lit(None).cast("double"),
-        lambda a, f: F.when(f.s.isNull(), a).when(a.isNull(), f.s + f.d * f.x0).otherwise(f.s + f.d * a),
-    )
-    begin = part.select(*keys, "_blk", chain.alias("_a0"), "_xs")
-    run = F.expr(f"aggregate(_xs, named_struct('a', _a0, 'out', cast(array() as array<double>)), (c, x) -> named_struct('a', if(x IS NULL, c.a, if(c.a IS NULL, x, {factor}D * x + {1 - factor}D * c.a)), 'out', concat(c.out, array(if(x IS NULL, c.a, if(c.a IS NULL, x, {factor}D * x + {1 - factor}D * c.a)))))).out")
-    values = begin.select(*keys, "_blk", F.posexplode(run).alias("_i", "ewma"))
-    numbered = blocked.withColumn("_i", (F.row_number().over(order) - 1).cast("int"))
-    return numbered.join(values, [*keys, "_blk", "_i"]).drop("_blk", "_i")
+    blocked = scores.select("*", F.expr(f"{pos} div {block}").alias("_blk"))
+    names = [*keys, "_blk"]
+    kinds = {f.name: f.dataType.simpleString() for f in blocked.schema.fields}
+    head = ", ".join(f"`{k}` {kinds[k]}" for k in names)
+
+    def run(x: np.ndarray, a: float) -> np.ndarray:
+        out = np.empty(len(x))
+        for i, v in enumerate(x.tolist()):
+            if v == v:
+                a = factor * v + (1 - factor) * a if a == a else v
+            out[i] = a
+        return out
+
+    def ordered(part: pa.Table) -> tuple[pa.Table, np.ndarray]:
+        part = part.take(pa.array(np.argsort(part[pos].to_numpy(), kind="stable")))
+        return part, part[score].to_numpy(zero_copy_only=False).astype(float) if part[score].null_count < part.num_rows else np.full(part.num_rows, np.nan)
+
+    def first(part: pa.Table) -> pa.Table:
+        part, x = ordered(part)
+        held = x[~np.isnan(x)]
+        # a block that starts from a leaves fold + decay * a; one that starts from nothing, as if from its first value
+        fold = run(held, 0.0)[-1] if len(held) else 0.0
+        one = {k: part[k].slice(0, 1) for k in names} | {"decay": [(1 - factor) ** len(held)], "fold": [fold], "first": pa.array([held[0] if len(held) else None], pa.float64())}
+        return pa.table(one)
+
+    def chain(part: pa.Table) -> pa.Table:
+        part = part.take(pa.array(np.argsort(part["_blk"].to_numpy())))
+        a, starts = None, []
+        for decay, fold, x0 in zip(part["decay"].to_pylist(), part["fold"].to_pylist(), part["first"].to_pylist(), strict=True):
+            starts.append(a)
+            a = a if x0 is None else fold + decay * (x0 if a is None else a)
+        return pa.table({k: part[k] for k in names} | {"start": pa.array(starts, pa.float64())})
+
+    def again(part: pa.Table, start: pa.Table) -> pa.Table:
+        part, x = ordered(part)
+        a = start["start"][0].as_py() if start.num_rows else None
+        return part.drop_columns(["_blk"]).append_column("ewma", pa.array(run(x, np.nan if a is None else a), pa.float64(), from_pandas=True))
+
+    folds = blocked.select(*names, pos, score).groupBy(*names).applyInArrow(first, f"{head}, decay double, fold double, first double")
+    starts = folds.groupBy(*keys).applyInArrow(chain, f"{head}, start double")
+    schema = T.StructType([*scores.schema.fields, T.StructField("ewma", T.DoubleType())])
+    return blocked.groupBy(*names).cogroup(starts.groupBy(*names)).applyInArrow(again, schema)

@@ -48,9 +48,10 @@ def roc_auc(rows: DataFrame, keys: list[str], score: str, truth: Column) -> Data
     return s.groupBy(*keys).agg((wins / F.nullif(F.max(F.col("_pos") * F.col("_neg")), F.lit(0))).alias("roc_auc"))
 
 
-def average_rank(rows: DataFrame, keys: list[str], column: str, name: str) -> DataFrame:
-    """`rows` with the 1-based rank of a column, ties sharing their mean: counted per distinct value, then joined."""
-    counts = cumulative(rows.groupBy(*keys, F.col(column).alias("_v")).agg(F.count("*").alias("_c")), keys, "_v", ["_c"])
+def average_rank(rows: DataFrame, keys: list[str], column: str, name: str, weight: str | None = None) -> DataFrame:
+    """`rows` with the 1-based rank of a column, ties sharing their mean: counted per distinct value, then joined. Rows
+    stand for `weight` rows each if a column is given."""
+    counts = cumulative(rows.groupBy(*keys, F.col(column).alias("_v")).agg((F.sum(weight) if weight else F.count("*")).alias("_c")), keys, "_v", ["_c"])
     ranks = counts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_v", (F.col("_c_upto") - (F.col("_c") - 1) / 2.0).alias(name))
     on = F.col(column) == F.col("_v")
     for i, k in enumerate(keys):
@@ -59,11 +60,22 @@ def average_rank(rows: DataFrame, keys: list[str], column: str, name: str) -> Da
 
 
 def spearman(rows: DataFrame, keys: list[str], a: str, b: str) -> DataFrame:
-    """(<keys>, n, rho): correlation of average ranks; null below two rows or without variance."""
-    held = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull() & ~F.isnan(F.col(a).cast("double")) & ~F.isnan(F.col(b).cast("double"))).select(*keys, a, b)
-    ranked = average_rank(average_rank(durable(held), keys, a, "_ra"), keys, b, "_rb")
-    ok = (F.count("*") >= 2) & (F.min("_ra") < F.max("_ra")) & (F.min("_rb") < F.max("_rb"))
-    return ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.when(ok, F.covar_pop("_ra", "_rb") / F.nullif(F.stddev_pop("_ra") * F.stddev_pop("_rb"), F.lit(0.0))).alias("rho"))
+    """(<keys>, n, rho): correlation of average ranks; null below two rows or without variance.
+
+    Rows are counted per pair of values first, so ties are one row each in the joins with the ranks.
+    """
+    held = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull() & ~F.isnan(F.col(a).cast("double")) & ~F.isnan(F.col(b).cast("double"))).groupBy(*keys, a, b).agg(F.count("*").alias("_n"))
+    ranked = average_rank(average_rank(durable(held), keys, a, "_ra", "_n"), keys, b, "_rb", "_n")
+    # ranks are 1 to n, so they are taken about (n + 1) / 2, their mean
+    total = ranked.groupBy(*[F.col(k).alias(f"_t{i}") for i, k in enumerate(keys)]).agg(F.sum("_n").alias("_all"))
+    on = F.lit(True)
+    for i, k in enumerate(keys):
+        on = on & F.col(k).eqNullSafe(F.col(f"_t{i}"))
+    x, y = (F.col(c) - (F.col("_all") + 1) / 2.0 for c in ("_ra", "_rb"))
+    xy, xx, yy = (F.sum(F.col("_n") * c) for c in (x * y, x * x, y * y))
+    each = ranked.join(total, on).groupBy(*keys).agg(F.sum("_n").alias("n"), xy.alias("_xy"), xx.alias("_xx"), yy.alias("_yy"))
+    rho = F.when((F.col("n") >= 2) & (F.col("_xx") > 0) & (F.col("_yy") > 0), F.col("_xy") / F.sqrt(F.col("_xx") * F.col("_yy")))
+    return each.select(*keys, "n", rho.alias("rho"))
 
 
 def score_percentiles(rows: DataFrame, keys: list[str], score: str) -> DataFrame:

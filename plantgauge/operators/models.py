@@ -180,7 +180,7 @@ def forest_scores(x: np.ndarray, forest: np.ndarray, sample: int) -> np.ndarray:
     return 2 ** (-total / len(roots) / max(path_length(sample), 1e-9))
 
 
-def isolation_outliers(rows: DataFrame, contamination: float = 0.05, trees: int = 200, sample: int = 256, fit_rows: int = 51_200, seed: int = 42, key: str = KEY) -> DataFrame:
+def isolation_outliers(rows: DataFrame, contamination: float = 0.05, trees: int = 200, sample: int = 256, fit_rows: int = 51_200, task_rows: int = 65_536, seed: int = 42, key: str = KEY) -> DataFrame:
     """(key, window_id, score, outlier): the highest `contamination` share of scores, as a linear percentile.
 
     A key's trees are grown on at most `fit_rows` of its rows, those of smallest hash, by default as many as all trees
@@ -206,10 +206,10 @@ def isolation_outliers(rows: DataFrame, contamination: float = 0.05, trees: int
         forest = np.asarray(right["forest"].iloc[0]).reshape(-1, 5)
         return pd.DataFrame({key: left[key], "window_id": left["window_id"], "score": forest_scores(np.stack(left["x"].to_numpy()), forest, int(right["size"].iloc[0]))})
 
-    # hot keys are salted: each salt of a key gets a copy of its trees
-    salts = 16
-    a = rows.withColumn("_salt", F.pmod(F.xxhash64("window_id"), F.lit(salts)))
-    b = model.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+    # keys are salted by their size, so that a task holds about `task_rows` rows; each salt of a key gets a copy of its trees
+    salts = F.ceil(F.col("_n") / float(task_rows)).cast("long")
+    a = _with(rows, share.select(F.col("_key").alias(key), "_n"), key, "_n").withColumn("_salt", F.pmod(F.xxhash64("window_id"), salts)).drop("_n")
+    b = _with(model, share.select(F.col("_key").alias(key), "_n"), key, "_n").withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1))).drop("_n")
     scored = a.groupBy(key, "_salt").cogroup(b.groupBy(key, "_salt")).applyInPandas(score, f"{key} {kind}, window_id long, score double")
     cut = exact_percentiles(scored, [key], "score", {"_cut": 1 - contamination}).select(F.col(key).alias("_key"), "_cut")
     return scored.join(cut, F.col(key).eqNullSafe(F.col("_key"))).select(key, "window_id", "score", (F.col("score") > F.col("_cut")).alias("outlier"))
