@@ -2,7 +2,8 @@
 
 Each series is cut into blocks of `block` slots that overlap their neighbours by `margin` slots, so that the
 longest series is spread over many tasks and a task holds one bounded block. The readings are averaged per slot in
-the JVM, and one pass over Arrow batches imputes each block.
+the JVM, and one pass over Arrow batches imputes each block. Blocks with far more readings than slots are found by a
+count and averaged before they are put together, so that no task is handed an unbounded number of readings.
 """
 
 from __future__ import annotations
@@ -116,6 +117,7 @@ def regular_grid(
     max_gap: int = 64,
     max_iter: int = 500,
     tol: float = 1e-4,
+    dense: int = 64,
 ) -> DataFrame:
     """One row per export and grid slot: (export_id, slot_no, slot_start_us, state, n_readings, n_filled, <sensors>).
 
@@ -127,7 +129,8 @@ def regular_grid(
     Defined cases: readings with a null timestamp, outside the range, or of an export that is not declared fall into
     no slot. Rows with the same row_id and timestamp count once. NaN and infinite values are null. A sensor's value
     is the mean of its distinct readings in the slot. A gap longer than `max_gap` slots, or a sensor without values
-    in a block, stays null, as do the gaps of a sensor whose imputation in a block doesn't converge. Exports with a null bound, a frequency of 0 or less or an empty range have no slots;
+    in a block, stays null, as do the gaps of a sensor whose imputation in a block doesn't converge. `dense` is the
+    number of readings per slot from which on a block's readings are averaged beforehand; it changes no result. Exports with a null bound, a frequency of 0 or less or an empty range have no slots;
     repeated export rows are taken together (earliest start, latest end, smallest frequency). Columns beyond the
     named ones are ignored.
     """
@@ -143,26 +146,36 @@ def regular_grid(
     )
     skeleton = declared.select("export_id", F.explode(F.expr(f"sequence(0L, (slots - 1) div {block})")).alias("blk"), "r0", "step", "slots")
 
-    placed = (
+    inside = (
         readings.select("export_id", "row_id", micros(readings, "timestamp").alias("us"), *[finite(s).alias(s) for s in sensors])
         .where("us IS NOT NULL")
         .join(declared, "export_id")
         .where("us >= r0 AND us < r1")
         .withColumn("slot", F.expr("(us - r0) div step"))
         .withColumn("own", F.expr(f"slot div {block}"))
-        .withColumn("at", F.expr(f"slot % {block}"))
-        .withColumn("blk", F.explode(F.expr(f"filter(array(own, if(at < {margin} and own > 0, own - 1, null), if(at >= {block - margin} and own < (slots - 1) div {block}, own + 1, null)), b -> b is not null)")))
-        .select("export_id", "blk", "slot", "row_id", "us", *sensors)
-        .repartition("export_id", "blk")
-    )
-    # The two aggregates are clustered by what the shuffle above was keyed on, so neither shuffles again.
-    per_slot = (
-        placed.groupBy("export_id", "blk", "slot", "row_id", "us")
-        .agg(*[F.max(s).alias(s) for s in sensors])
-        .groupBy("export_id", "blk", "slot")
-        .agg(F.count("*").alias("n"), *[F.avg(s).alias(s) for s in sensors])
     )
 
+    def in_blocks(rows: DataFrame) -> DataFrame:
+        """The rows in their block, and again in those whose margin they lie in."""
+        at = f"slot % {block}"
+        more = f"if({at} < {margin} and own > 0, own - 1, null), if({at} >= {block - margin} and own < (slots - 1) div {block}, own + 1, null)"
+        return rows.withColumn("blk", F.explode(F.expr(f"array_compact(array(own, {more}))")))
+
+    def averaged(rows: DataFrame, *keys: str) -> DataFrame:
+        once = rows.groupBy(*keys, "slot", "row_id", "us").agg(*[F.max(s).alias(s) for s in sensors])
+        return once.groupBy(*keys, "slot").agg(F.count("*").alias("n"), *[F.avg(s).alias(s) for s in sensors])
+
+    # The two aggregates are clustered by what the shuffle is keyed on, so neither shuffles again.
+    sparse = lambda rows: averaged(in_blocks(rows).select("export_id", "blk", "slot", "row_id", "us", *sensors).repartition("export_id", "blk"), "export_id", "blk")
+    crowded = inside.groupBy("export_id", "own").agg(F.count("*").alias("_n")).where(F.col("_n") > dense * block).select("export_id", "own")
+    if crowded.isEmpty():
+        per_slot = sparse(inside)
+    else:
+        # their readings are spread by all that tells them apart, and one row per slot goes on
+        slots = averaged(inside.join(crowded, ["export_id", "own"], "left_semi"), "export_id", "own", "slots")
+        early = in_blocks(slots).select("export_id", "blk", "slot", "n", *sensors)
+        per_slot = sparse(inside.join(crowded, ["export_id", "own"], "left_anti")).select("export_id", "blk", "slot", "n", *sensors).unionByName(early)
+
     types = ", ".join(f"{s} double" for s in sensors)
     schema = f"export_id long, slot_no long, slot_start_us long, state string, n_readings long, n_filled int, {types}"
 

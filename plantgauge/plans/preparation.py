@@ -29,6 +29,12 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return empty_slots(regular_grid(table(spark, d, "combined"), table(spark, d, "exports")))
 
 
+def p3_slots(spark: SparkSession, d: str) -> DataFrame:
+    """Per export and slot when it begins and the number of readings in it."""
+    grid = regular_grid(table(spark, d, "combined"), table(spark, d, "exports"))
+    return grid.select("export_id", "slot_no", "slot_start_us", "n_readings")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     found = periods_and_gaps(table(spark, d, "event_labels"))
     return found.select("node_id", "kind", F.expr("start_us div 1000000").alias("start_s"), F.expr("end_us div 1000000").alias("end_s"))
@@ -45,7 +51,7 @@ def p6_coverage(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_reasons, p3_grid, p3_found, p6_found, p6_coverage)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_reasons, p3_grid, p3_found, p3_slots, p6_found, p6_coverage)}
 
 _PERIODS = """
 WITH clean AS (
@@ -66,6 +72,14 @@ held AS (
   SELECT DISTINCT c.export_id, (epoch_us(c.timestamp) - epoch_us(x.range_start)) // (x.frequency_seconds * 1000000) AS slot_no
   FROM combined c JOIN exports x USING (export_id) WHERE c.timestamp >= x.range_start AND c.timestamp < x.range_end)
 SELECT export_id, slot_no FROM slots ANTI JOIN held USING (export_id, slot_no)""",
+    "p3_slots": """
+WITH slots AS (
+  SELECT export_id, epoch_us(range_start) AS r0, frequency_seconds * 1000000 AS step, unnest(range(CAST(ceil((epoch_us(range_end) - epoch_us(range_start)) / (frequency_seconds * 1000000.0)) AS BIGINT))) AS slot_no FROM exports),
+held AS (
+  SELECT export_id, slot_no, count(*) AS n FROM (
+    SELECT DISTINCT c.export_id, c.row_id, c.timestamp, (epoch_us(c.timestamp) - epoch_us(x.range_start)) // (x.frequency_seconds * 1000000) AS slot_no
+    FROM combined c JOIN exports x USING (export_id) WHERE c.timestamp >= x.range_start AND c.timestamp < x.range_end) GROUP BY ALL)
+SELECT export_id, slot_no, r0 + slot_no * step AS slot_start_us, coalesce(n, 0) AS n_readings FROM slots LEFT JOIN held USING (export_id, slot_no)""",
     "p6_found": _PERIODS + "SELECT node_id, kind, s // 1000000 AS start_s, e // 1000000 AS end_s FROM both_kinds",
     "p6_coverage": _PERIODS
     + """SELECT node_id, count(*) FILTER (kind = 'period') AS n_periods, count(*) FILTER (kind = 'gap') AS n_gaps,

@@ -92,6 +92,35 @@ def test_grid_is_the_same_in_blocks(spark):
     assert {r.slot_no for r in empty_slots(grid(spark, readings, exports, block=64, margin=16)).collect()} == {k for k in range(500) if k % 3}
 
 
+def test_grid_of_crowded_slots(spark):
+    # most readings in two slots at the edge of a block; averaged beforehand or not, the grid is the same
+    rng = np.random.default_rng(3)
+    places = np.concatenate((rng.integers(640, 660, 900), rng.integers(0, 2000, 300)))
+    readings = [(i, 1, at(p), float(rng.normal()), "a") for i, p in enumerate(places)]
+    readings += readings[:50] + [(5000 + i, 2, at(10 * i), 1.0, "a") for i in range(0, 60, 2)]
+    exports = [(1, 10, at(0), at(2000), "b"), (2, 10, at(0), at(600), "b")]
+    a, b = ({(r.export_id, r.slot_no): (r.state, r.n_readings, r.n_filled, r.sensor_00 and round(r.sensor_00, 9)) for r in grid(spark, readings, exports, block=64, margin=16, dense=d).collect()} for d in (1, 10**6))
+    assert a == b and len(a) == 260 and max(n for _, n, *_ in a.values()) > 300
+
+
+def test_hidden_slots_come_back(spark):
+    """Values of known slots that are hidden are met, within what the series' own noise allows."""
+    rng = np.random.default_rng(6)
+    n = 2200
+    t = np.arange(n)
+    clean = 20 + 3 * np.sin(2 * np.pi * t / 36) + np.sin(2 * np.pi * t / 11)
+    x = clean + 0.1 * rng.normal(size=n)
+    hidden = np.zeros(n, bool)
+    for a in rng.choice(np.arange(60, n - 60, 45), 30, replace=False):
+        hidden[a : a + int(rng.integers(1, 14))] = True
+    readings = [(int(i), 1, at(10 * i + int(rng.integers(0, 10))), float(x[i]), "a") for i in t[~hidden]]
+    got = {r.slot_no: r for r in grid(spark, readings, [(1, 10, at(0), at(10 * n), "b")], lag=40, rank=5).collect()}
+    off = np.array([got[i].sensor_00 - clean[i] for i in t[hidden]])
+    line = np.interp(t[hidden], t[~hidden], x[~hidden]) - clean[hidden]
+    assert all(got[i].state == "filled" for i in t[hidden]) and np.sqrt((off**2).mean()) < 0.25 < np.sqrt((line**2).mean())
+    assert all(got[i].sensor_00 == pytest.approx(x[i]) and got[i].state == "observed" for i in t[~hidden])
+
+
 def test_grid_of_empty_tables(spark):
     assert grid(spark, [], []).count() == 0
     assert [r.state for r in grid(spark, [], [(1, 10, at(0), at(20), "b")]).collect()] == ["missing"] * 2
