@@ -484,6 +484,24 @@ def network_errors(rows: DataFrame, sensors: list[str], net: Network, key: str =
     return rows.dropna(subset=sensors).select(key, "window_id", "row_in_window", *sensors).mapInArrow(run, f"{key} {kind}, window_id long, row_in_window int, row_error double")
 
 
+def network_sensor_errors(rows: DataFrame, sensors: list[str], net: Network, key: str = KEY) -> DataFrame:
+    """(key, window_id, sensor, error): mean squared error of each sensor over a window's rows that hold every sensor."""
+    shared = rows.sparkSession.sparkContext.broadcast(net)
+    kind = rows.schema[key].dataType.simpleString()
+    kinds = ", ".join(f"`{s}` double" for s in sensors)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns[2:]], 1)
+                off = (shared.value.forward(x)[0] - x) ** 2
+                yield pa.RecordBatch.from_arrays([*b.columns[:2], *[pa.array(c) for c in off.T]], names=[key, "window_id", *sensors])
+
+    off = rows.dropna(subset=sensors).select(key, "window_id", *[F.col(s).cast("double") for s in sensors]).mapInArrow(run, f"{key} {kind}, window_id long, {kinds}")
+    means = [F.struct(F.lit(s).alias("sensor"), F.avg(s).alias("error")).alias(s) for s in sensors]
+    return off.groupBy(key, "window_id").agg(*means).select(key, "window_id", F.inline(F.array(*sensors)))
+
+
 def grid_search(rows: DataFrame, sensors: list[str], latents: tuple[int, ...] = (2, 3, 4), rates: tuple[float, ...] = (1e-3, 3e-3), dropouts: tuple[float, ...] = (0.0, 0.1), **options) -> DataFrame:
     """(latent, rate, dropout, epochs, val_loss, best): all combinations trained side by side on all rows, each until
     it stops by itself; the first of equal losses is best."""

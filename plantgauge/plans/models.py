@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import cleaning, legacy, models, truth
+from ..operators import ablation, cleaning, legacy, limits, metrics, models, scoring, truth
 from ..session import table
 from ..sources.synthetic import event_sensor_names, synthetic_plant
 from .base import EQ, ROWS, SENSORS, rounded, window_rows
-from .reference import SCALED, scaled_rows
+from .reference import _TRUTH, SCALED, scaled_rows, with_truth
 
 N = 16
 
@@ -89,6 +89,65 @@ def network_grid(spark: SparkSession, d: str) -> DataFrame:
     return rounded(models.grid_search(rows, SENSORS, epochs=50))
 
 
+def legacy_network(spark: SparkSession, d: str) -> DataFrame:
+    """Thresholds of the earlier network (16, 8 and 4 wide): sensors' errors as ratios to those in training, the share
+    of windows with more than a tenth of their sensors above each threshold, its knee and where it gets stable."""
+    rows = scaled_rows(spark, d).withColumn("split", F.expr("CASE WHEN row_pos < floor(n_rows * 0.7D) THEN 'train' WHEN row_pos < floor(n_rows * 0.85D) THEN 'val' ELSE 'test' END"))
+    net = models.Network(len(SENSORS), 4, [16, 8])
+    models.fit_networks(rows, SENSORS, [net], [1e-3], epochs=50)
+    errors = models.network_sensor_errors(rows, SENSORS, net)
+    fitted = rows.where("split = 'train'").select(EQ, "window_id").distinct()
+    base = scoring.baselines(errors.join(fitted, [EQ, "window_id"], "left_semi"))
+    ratios = errors.join(base, [EQ, "sensor"]).select(EQ, "window_id", "sensor", (F.col("error") / F.greatest("baseline", F.lit(1e-10))).alias("ratio"))
+    return rounded(limits.elbow(limits.anomaly_curve(ratios, [EQ], 10.0, 800.0, 10.0), [EQ]))
+
+
+def mahalanobis_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Per regime the mean squared distance of the rows that the covariance is of: sensors * (n - 1) / n."""
+    far = models.mahalanobis_outliers(regime_vectors(spark, d), key="regime")
+    return rounded(far.groupBy("regime").agg(F.count("*").alias("n"), F.avg(F.pow("distance", F.lit(2))).alias("mean_d2")), 3)
+
+
+def component_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Per regime the total variance: what the components' scores and the reconstruction errors hold together."""
+    rows = regime_vectors(spark, d)
+    scored_ = models.component_scores(rows, models.principal_components(models.moments(rows, "regime"), key="regime"), "regime")
+    total = F.avg(models.dot(F.col("scores"), F.col("scores")) + N * F.col("error"))
+    return rounded(scored_.groupBy("regime").agg(F.count("*").alias("n"), total.alias("variance")), 3)
+
+
+def detector_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Per regime the windows that the forest, the components, the clusters and the cleaning chain have seen."""
+    rows = regime_vectors(spark, d)
+    seen = {"isolation_forest": models.isolation_outliers(rows, key="regime"), "pca": models.pca_outliers(rows, key="regime"), "clusters": models.regimes(rows.withColumnRenamed("regime", "was")).withColumnRenamed("regime", "cluster").withColumnRenamed("was", "regime")}
+    out = cleaning.run_cleaning(rows, ["pca", "mahalanobis"])[1].where("step_no = 1").select("regime", F.lit("cleaning").alias("detector"), F.col("n_before").alias("n_seen"))
+    for name, df in seen.items():
+        out = out.unionByName(df.groupBy("regime").agg(F.count("*").alias("n_seen")).select("regime", F.lit(name).alias("detector"), "n_seen"))
+    return out
+
+
+def ablation_grid(spark: SparkSession, d: str) -> DataFrame:
+    """Variants of limits and flags against labelled events, each over all scoring runs."""
+
+    def judged(config: dict) -> DataFrame:
+        return with_truth(spark, d).select(EQ, "run_no", "score", "usable", "active")
+
+    def limited(config: dict) -> DataFrame:
+        t = stages.get(config, (), judged)
+        return t.join(limits.percentile_limits(t, [EQ], "score", **config["limits"]).select(EQ, "green_yellow", "yellow_red"), EQ)
+
+    def evaluate(config: dict, stages: ablation.Stages) -> DataFrame:
+        rows = stages.get(config, ("limits",), limited)
+        flagged = F.col("score") >= F.col("yellow_red" if config["flag"] == "red" else "green_yellow")
+        found = metrics.pointwise(rows, ["run_no"], F.col("active"), flagged, F.col("usable") if config["usable_only"] else None)
+        return found.select(F.col("run_no").alias("seed"), F.col("f1").alias("metric"))
+
+    stages = ablation.Stages()
+    base = {"limits": {"low": 90.0, "high": 99.0}, "flag": "any", "usable_only": True}
+    variants = {"lower limit": (1, {"limits": {"low": 85.0}}), "higher limit": (1, {"limits": {"low": 95.0}}), "red only": (2, {"flag": "red"}), "unusable too": (3, {"usable_only": False})}
+    return rounded(ablation.run_ablation(base, variants, evaluate, stages))
+
+
 def synthetic_summary(spark: SparkSession, d: str) -> DataFrame:
     """Windows of a synthetic plant by what was injected: an anomaly goes before a shutdown."""
     rows, events = synthetic_plant(spark, tags=8, days=10, seconds=60, shutdowns=2)
@@ -127,7 +186,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         window_covariance, component_errors, latent_sizes, mahalanobis_windows, isolation_windows, cleaning_log, removal_check, window_regimes, component_regimes, residual_statistics,
-        network_windows, network_grid, synthetic_summary, correlation_change, plain_scaler, legacy_rows, time_holdout, wavelet_contamination,
+        network_windows, network_grid, legacy_network, mahalanobis_summary, component_summary, detector_counts, ablation_grid, synthetic_summary, correlation_change, plain_scaler, legacy_rows, time_holdout, wavelet_contamination,
     )
 }
 
@@ -139,7 +198,20 @@ def _corr(a: str, b: str) -> str:
     return f"coalesce(covar_pop({a}, {b}) / nullif(stddev_pop({a}) FILTER ({both}) * stddev_pop({b}) FILTER ({both}), 0), 0)"
 
 
+_F1 = "CASE WHEN tp > 0 THEN 2 * (tp / nullif(tp + fp, 0)) * (tp / nullif(tp + fn, 0)) / (tp / nullif(tp + fp, 0) + tp / nullif(tp + fn, 0)) END"
+_VARIANTS = {"baseline": (0, "q90", "usable"), "lower limit": (1, "q85", "usable"), "higher limit": (1, "q95", "usable"), "red only": (2, "q99", "usable"), "unusable too": (3, "q90", "true")}
+
 SQL = {
+    "mahalanobis_summary": _VECTORS + f"SELECT regime, count(*) AS n, round({N} * (count(*) - 1) / count(*)::DOUBLE, 3) AS mean_d2 FROM v GROUP BY regime",
+    "component_summary": _VECTORS + f"SELECT regime, count(*) AS n, round({' + '.join(f'var_pop(x[{i + 1}])' for i in range(N))}, 3) AS variance FROM v GROUP BY regime",
+    "detector_counts": _VECTORS + "SELECT regime, detector, count(*) AS n_seen FROM v, (VALUES ('isolation_forest'), ('pca'), ('clusters'), ('cleaning')) AS k(detector) GROUP BY ALL",
+    "ablation_grid": _TRUTH
+    + f""", lim AS (SELECT equipment_id, quantile_cont(score, 0.85) AS q85, quantile_cont(score, 0.9) AS q90, quantile_cont(score, 0.95) AS q95, quantile_cont(score, 0.99) AS q99 FROM s GROUP BY ALL),
+e AS (SELECT t.*, q85, q90, q95, q99 FROM t JOIN lim USING (equipment_id)),
+u AS ({" UNION ALL ".join(f"SELECT {tier} AS tier, '{name}' AS variant, run_no, active, coalesce(score >= {q}, false) AS f FROM e WHERE {which}" for name, (tier, q, which) in _VARIANTS.items())}),
+c AS (SELECT tier, variant, run_no, count(*) FILTER (active AND f) AS tp, count(*) FILTER (NOT active AND f) AS fp, count(*) FILTER (active AND NOT f) AS fn FROM u GROUP BY ALL),
+v AS (SELECT tier, variant, count(*) AS n, avg({_F1}) AS mean, stddev_samp({_F1}) AS std FROM c GROUP BY ALL), b AS (SELECT mean AS bm, coalesce(std, 0) AS bs FROM v WHERE variant = 'baseline')
+SELECT tier, variant, n, round(mean, 6) AS mean, round(std, 6) AS std, round(mean - bm, 6) AS gain, CASE WHEN variant = 'baseline' THEN 'base' WHEN abs(mean - bm) <= 2 * bs THEN 'noise' WHEN mean > bm THEN 'better' ELSE 'worse' END AS verdict FROM v LEFT JOIN b ON true""",
     "window_covariance": _VECTORS
     + " UNION ALL ".join(
         f"SELECT regime, count(*) AS n, {i} AS i, CAST({j} AS INTEGER) AS j, round(covar_samp(x[{i + 1}], x[{j + 1}]), 4) AS cov FROM v GROUP BY regime" for i in range(N) for j in range(N)

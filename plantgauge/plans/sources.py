@@ -95,6 +95,15 @@ def label_export(spark: SparkSession, d: str) -> DataFrame:
     return index.join(packed.select(EQ, F.col("window_id").cast("long").alias("window_id"), F.size("w.rows").alias("n_rows")), [EQ, "window_id"])
 
 
+def cleaning_page(spark: SparkSession, d: str) -> DataFrame:
+    """A page of what cleaning left per regime, written and read back: its table cells."""
+    rows = table(spark, d, "cleaned_windows").where("record_id IS NOT NULL").groupBy("cleaned_regime_labels").agg(F.countDistinct("record_id").alias("n_windows"))
+    path = shared_folder(spark, "page")
+    files.write_page(spark, path, "Cleaning", {"Windows by regime": rows.orderBy("cleaned_regime_labels")})
+    found = F.regexp_extract_all("value", F.lit("<tr><td>([^<]*)</td><td>([^<]*)</td></tr>"), F.lit(1)), F.regexp_extract_all("value", F.lit("<tr><td>([^<]*)</td><td>([^<]*)</td></tr>"), F.lit(2))
+    return spark.read.text(path).select(F.inline(F.arrays_zip(found[0].alias("regime"), found[1].alias("n_windows"))))
+
+
 def detected_columns(spark: SparkSession, d: str) -> DataFrame:
     """The columns of the plant's rows that are sensors by kind, and what the schema lacks of a fuller list."""
     rows = table(spark, d, "combined")
@@ -125,7 +134,7 @@ def trimmed_scores(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (csv_scan, list_columns, timestamped_scan, saved_windows, saved_scaler, score_sink, report_sink, health_log, label_export, detected_columns, event_sensors, aligned_windows, trimmed_scores)
+    for f in (csv_scan, list_columns, timestamped_scan, saved_windows, saved_scaler, score_sink, report_sink, health_log, label_export, cleaning_page, detected_columns, event_sensors, aligned_windows, trimmed_scores)
 }
 
 _CLEAN = "(SELECT DISTINCT record_id, equipment_id, cleaned_regime_labels FROM cleaned_windows WHERE record_id IS NOT NULL AND cleaned_regime_labels IS NOT NULL)"
@@ -144,6 +153,7 @@ SQL = {
     "label_export": ROWS
     + """, w AS (SELECT equipment_id, window_id, round(avg(sensor_00), 6) AS score, count(sensor_00) AS n, count(*) AS n_rows FROM win GROUP BY ALL)
 SELECT equipment_id, window_id, score, CASE WHEN window_id % 7 = 0 THEN 'red' ELSE 'yellow' END AS zone, CAST(n_rows AS INTEGER) AS n_rows FROM w WHERE n >= 60 AND (window_id % 7 = 0 OR window_id % 5 = 0)""",
+    "cleaning_page": "SELECT coalesce(CAST(cleaned_regime_labels AS VARCHAR), '') AS regime, CAST(count(DISTINCT record_id) AS VARCHAR) AS n_windows FROM cleaned_windows WHERE record_id IS NOT NULL GROUP BY cleaned_regime_labels",
     "detected_columns": """SELECT 'sensor' AS kind, column_name AS name FROM (DESCRIBE combined) WHERE column_type = 'DOUBLE'
 UNION ALL VALUES ('error', 'Missing sensor column: sensor_99'), ('error', 'Not numeric: equipment_id (string)')""",
     "event_sensors": f"SELECT DISTINCT sensor FROM (SELECT unnest(sensors) AS sensor FROM event_labels WHERE node_id IS NOT NULL AND start_time IS NOT NULL AND end_time >= start_time) WHERE sensor IN ({', '.join(repr(s) for s in SENSORS)})",

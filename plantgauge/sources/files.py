@@ -125,6 +125,28 @@ def write_report(report: DataFrame, path: str, digits: int | None = None) -> Non
     report.withColumns(clean).write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
+def write_page(spark: SparkSession, path: str, title: str, tables: dict[str, DataFrame], most: int = 5_000, digits: int = 4) -> str:
+    """Writes small result tables as one HTML page and gives its text. A table of more than `most` rows is an error:
+    a page is for reading, and a part of a table would not be told from the whole."""
+    from html import escape
+
+    def cell(v: Any) -> str:
+        v = json_safe(v, digits)
+        return "" if v is None else escape(", ".join(map(str, v)) if isinstance(v, list) else str(v))
+
+    parts = [f"<!DOCTYPE html><html><head><meta charset='utf-8'><title>{escape(title)}</title></head><body><h1>{escape(title)}</h1>"]
+    for name, df in tables.items():
+        rows = df.limit(most + 1).collect()
+        if len(rows) > most:
+            raise ValueError(f"{name} has more than {most} rows")
+        head = "".join(f"<th>{escape(c)}</th>" for c in df.columns)
+        body = "".join("<tr>" + "".join(f"<td>{cell(v)}</td>" for v in r) + "</tr>" for r in rows)
+        parts.append(f"<h2>{escape(name)}</h2><table><tr>{head}</tr>{body}</table>")
+    text = "".join([*parts, "</body></html>"])
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    return text
+
+
 def json_safe(x: Any, digits: int | None = None) -> Any:
     """NaN and infinite values as null, sets as sorted lists, NumPy values as plain ones."""
     if isinstance(x, dict):

@@ -1,7 +1,7 @@
 """Windows, alerts, limits, event joins, metrics, drift, models and functions on small inputs with known results."""
 
 import math
-from datetime import datetime, timedelta
+from datetime import UTC, datetime, timedelta
 
 import numpy as np
 import pytest
@@ -364,3 +364,59 @@ def test_legacy(spark):
     kept, names = legacy.cleaned_rows(rows, F.col("b") > 100, ["a", "b"], 50.0, [])
     assert names == ["a", "b"] and kept.count() == 139
     assert legacy.time_holdout(rows.withColumn("us", F.col("row_pos")), 0.8).where("held_out").count() == 48
+
+
+def test_ablation_builds_common_stages_once(spark):
+    from plantgauge.operators.ablation import Stages, run_ablation
+
+    df = spark.createDataFrame([(r, float(v)) for r in range(3) for v in range(10)], "seed int, x double")
+
+    def scaled(config):
+        return df.withColumn("x", F.col("x") * config["scale"])
+
+    def evaluate(config, stages):
+        rows = stages.get(config, ("scale",), scaled)
+        return rows.groupBy("seed").agg(F.avg((F.col("x") > config["cut"]).cast("double")).alias("metric"))
+
+    stages = Stages()
+    got = {r.variant: r for r in run_ablation({"scale": 1.0, "cut": 4.0}, {"low": (1, {"cut": 2.0}), "high": (1, {"cut": 8.0}), "double": (2, {"scale": 2.0})}, evaluate, stages).collect()}
+    assert stages.built == 2
+    assert {k: (r.tier, r.n, round(r.mean, 6), r.verdict) for k, r in got.items()} == {"baseline": (0, 3, 0.5, "base"), "low": (1, 3, 0.7, "better"), "high": (1, 3, 0.1, "worse"), "double": (2, 3, 0.7, "better")}
+
+
+def test_tail_fit_of_buckets_equals_that_of_scores():
+    x = np.random.default_rng(3).pareto(4, 4000)
+    values, counts = np.unique(np.round(x, 2), return_counts=True)
+    assert stats.gpd_fit(values, counts) == pytest.approx(stats.gpd_fit(np.repeat(values, counts)))
+
+
+def test_a_hot_key_in_forest_scores_and_ranks(spark):
+    rng = np.random.default_rng(21)
+    rows = [("hot" if i % 10 else "cold", i, [float(v) for v in rng.normal(size=3)]) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, window_id long, x array<double>")
+    a, b = ({r.window_id: (round(r.score, 9), r.outlier) for r in models.isolation_outliers(df, trees=10, task_rows=n, key="k").collect()} for n in (30, 10**6))
+    assert a == b and len(a) == 400
+    ties = spark.createDataFrame([("hot", float(i % 3), float(i % 4)) for i in range(600)] + [("one", 1.0, 2.0), (None, 1.0, 2.0), (None, 2.0, 3.0), ("flat", 1.0, 2.0), ("flat", 1.0, 3.0)], "k string, a double, b double")
+    got = {r.k: (r.n, r.rho) for r in metrics.spearman(ties, ["k"], "a", "b").collect()}
+    assert got["one"] == (1, None) and got["flat"] == (2, None) and got[None] == (2, pytest.approx(1.0))
+    assert got["hot"] == (600, pytest.approx(0.0, abs=1e-12))
+
+
+def test_smoothing_over_blocks_without_values(spark):
+    x = [None, None, 3.0, None, None, None, 5.0, 1.0, None, 2.0]
+    df = spark.createDataFrame([(None, i, v, "e") for i, v in enumerate(x)], "k string, pos long, score double, extra string")
+    want, a = [], None
+    for v in x:
+        a = a if v is None else v if a is None else 0.2 * v + 0.8 * a
+        want.append(a)
+    for block in (1, 2, 3, 100):
+        rows = alerts.smoothed(df, ["k"], block=block).orderBy("pos").collect()
+        assert [r.ewma for r in rows] == [w if w is None else pytest.approx(w) for w in want] and rows[0].extra == "e"
+
+
+def test_durations_of_many_episodes(spark):
+    rows = [("E", 60 * i, 60 * i + 3600 * ((7 * i) % 11 + 1)) for i in range(40)]
+    found = spark.createDataFrame([(k, datetime.fromtimestamp(s, UTC), datetime.fromtimestamp(e, UTC)) for k, s, e in rows], "k string, start_time timestamp, end_time timestamp")
+    r = alerts.episode_stats(found, spark.createDataFrame([("E", 5)], "k string, n_active long"), ["k"]).first()
+    hours = sorted((e - s) / 3600 for _, s, e in rows)
+    assert (r.n_episodes, r.n_active, r.min_h, r.median_h, r.max_h) == (40, 5, hours[0], hours[20], hours[-1])

@@ -69,6 +69,15 @@ def test_sinks(spark, tmp_path):
         files.export_windows(df, rows.where("false"), ["a"], str(tmp_path / "y"))
 
 
+def test_pages(spark, tmp_path):
+    df = spark.createDataFrame([("a<b", 1.23456, ["x", "y"]), (None, float("nan"), None)], "name string, score double, top array<string>")
+    text = files.write_page(spark, str(tmp_path / "p"), "Alerts & more", {"Scores": df, "None": df.where("false")})
+    assert "<h1>Alerts &amp; more</h1>" in text and "<tr><td>a&lt;b</td><td>1.2346</td><td>x, y</td></tr><tr><td></td><td></td><td></td></tr>" in text
+    assert spark.read.text(str(tmp_path / "p")).first().value == text
+    with pytest.raises(ValueError):
+        files.write_page(spark, str(tmp_path / "q"), "t", {"Scores": df}, most=1)
+
+
 def test_configuration(tmp_path):
     (tmp_path / "c.json").write_text(json.dumps({"a": {"t": "1e-5", "n": "x"}, "b": [1]}))
     c = files.read_config(str(tmp_path / "c.json"))
