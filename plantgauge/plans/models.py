@@ -226,6 +226,10 @@ SELECT equipment_id, window_id, round(avg(r2), 6) AS mse, round(avg(z2), 6) AS m
 l AS (SELECT *, lag(period) OVER o AS before, {", ".join(f"lag(c{k}) OVER o AS l{k}" for k in range(len(_PAIRS)))} FROM c WINDOW o AS (PARTITION BY equipment_id ORDER BY period))
 SELECT equipment_id, period, n_rows, round(CASE WHEN before IS NOT NULL THEN sqrt(2 * ({" + ".join(f"(c{k} - l{k}) ** 2" for k in range(len(_PAIRS)))})) END, 6) AS change FROM l""",
     "plain_scaler": ROWS + "SELECT equipment_id, sensor, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, round(min(value), 6) AS low, round(max(value), 6) AS high FROM long GROUP BY ALL",
-    "legacy_rows": ROWS + f"SELECT equipment_id, count(*) AS n_rows FROM (SELECT DISTINCT equipment_id, {', '.join(SENSORS)} FROM win WHERE sensor_00 > 50 AND {' AND '.join(s + ' IS NOT NULL' for s in SENSORS)}) GROUP BY ALL",
+    "legacy_rows": ROWS
+    + f""", running AS (SELECT * FROM win WHERE sensor_00 > 50),
+share AS (SELECT {", ".join(f"avg(CASE WHEN {s} IS NULL THEN 100.0 ELSE 0 END) AS p_{s}" for s in SENSORS)} FROM running),
+kept AS (SELECT equipment_id, {", ".join(f"CASE WHEN p_{s} <= 50 THEN {s} END AS {s}" for s in SENSORS)} FROM running, share WHERE {" AND ".join(f"(p_{s} > 50 OR {s} IS NOT NULL)" for s in SENSORS)})
+SELECT equipment_id, count(*) AS n_rows FROM (SELECT DISTINCT * FROM kept) GROUP BY ALL""",
     "time_holdout": ROWS + ", q AS (SELECT equipment_id, quantile_cont(us::DOUBLE, 0.8) AS c FROM win GROUP BY ALL) SELECT equipment_id, count(*) FILTER (us > c) AS n_held_out, count(*) AS n_rows FROM win JOIN q USING (equipment_id) GROUP BY ALL",
 }
