@@ -67,7 +67,7 @@ def score_sink(spark: SparkSession, d: str) -> DataFrame:
 def report_sink(spark: SparkSession, d: str) -> DataFrame:
     """Counts per zone and regime written as JSON lines and read back."""
     path = shared_folder(spark, "report")
-    files.write_report(scored(spark, d).groupBy("labels", "zone").agg(F.count("*").alias("n_windows"), F.avg("score").alias("mean_score")), path, 6)
+    files.write_report(scored(spark, d).groupBy("labels", "zone").agg(F.count("*").alias("n_windows"), F.avg("score").alias("mean_score")), path, 9)
     return spark.read.schema("labels int, zone string, n_windows long, mean_score double").json(path)
 
 
@@ -80,7 +80,7 @@ def health_log(spark: SparkSession, d: str) -> DataFrame:
     for _ in range(2):
         files.append_health(weekly, path)
     logged = files.read_health(spark, path).groupBy(EQ, "week_start").agg(F.count("*").alias("n_logged"), *[F.max(c).alias(c) for c in ("mean_score", "max_score", "min_score", "green", "yellow", "red")])
-    return rounded(logged)
+    return rounded(logged, 9)
 
 
 def label_export(spark: SparkSession, d: str) -> DataFrame:
@@ -146,10 +146,10 @@ SQL = {
     "saved_windows": ROWS + "SELECT equipment_id, window_id, sensor, count(value) AS n, round(avg(CAST(CAST(value AS FLOAT) AS DOUBLE)), 3) AS mean FROM long GROUP BY ALL",
     "saved_scaler": SCALED + "SELECT equipment_id, sensor, round(center, 6) AS center, round(scale, 6) AS scale FROM scaler",
     "score_sink": SCORED + "SELECT window_id, equipment_id, run_no, pos, round(score, 6) AS score, zone, top_sensors FROM p",
-    "report_sink": SCORED + "SELECT labels, zone, count(*) AS n_windows, round(avg(score), 6) AS mean_score FROM p GROUP BY ALL",
+    "report_sink": SCORED + "SELECT labels, zone, count(*) AS n_windows, round(avg(score), 9) AS mean_score FROM p GROUP BY ALL",
     "health_log": SCORED
-    + """SELECT equipment_id, strftime(date_trunc('week', window_start), '%Y-%m-%d') AS week_start, CAST(2 AS BIGINT) AS n_logged, round(avg(score), 6) AS mean_score, round(max(score), 6) AS max_score,
-  round(min(score), 6) AS min_score, count(*) FILTER (zone = 'green') AS green, count(*) FILTER (zone = 'yellow') AS yellow, count(*) FILTER (zone = 'red') AS red FROM p GROUP BY ALL""",
+    + """SELECT equipment_id, strftime(date_trunc('week', window_start), '%Y-%m-%d') AS week_start, CAST(2 AS BIGINT) AS n_logged, round(avg(score), 9) AS mean_score, round(max(score), 9) AS max_score,
+  round(min(score), 9) AS min_score, count(*) FILTER (zone = 'green') AS green, count(*) FILTER (zone = 'yellow') AS yellow, count(*) FILTER (zone = 'red') AS red FROM p GROUP BY ALL""",
     "label_export": ROWS
     + """, w AS (SELECT equipment_id, window_id, round(avg(sensor_00), 6) AS score, count(sensor_00) AS n, count(*) AS n_rows FROM win GROUP BY ALL)
 SELECT equipment_id, window_id, score, CASE WHEN window_id % 7 = 0 THEN 'red' ELSE 'yellow' END AS zone, CAST(n_rows AS INTEGER) AS n_rows FROM w WHERE n >= 60 AND (window_id % 7 = 0 OR window_id % 5 = 0)""",
