@@ -392,16 +392,19 @@ def train_network(net: Network, train: np.ndarray, val: np.ndarray, epochs: int
     return progress.finish()
 
 
-def fit_networks(rows: DataFrame, sensors: list[str], nets: list[Network], rates: list[float], split: str = "split", epochs: int = 150, batch: int = 256, decay: float = 1e-5, patience: int = 10, seed: int = 42) -> list[list[dict]]:
+def fit_networks(rows: DataFrame, sensors: list[str], nets: list[Network], rates: list[float], split: str = "split", epochs: int = 150, batch: int = 256, decay: float = 1e-5, patience: int = 10, seed: int = 42, least_steps: int = 64) -> list[list[dict]]:
     """Trains networks in place, side by side, on all rows of the splits `train` and `val` that hold every sensor.
 
     An epoch is one pass: each partition takes its training rows in mini-batches from the common weights on, and the
     partitions' weights and optimiser states are averaged by their rows (iterative parameter mixing). The same pass
     tells the validation loss of the weights that it began with, so the history of an epoch is complete after the
-    next. The driver gets one row of weights per partition and network, whatever the number of rows.
+    next. The driver gets one row of weights per partition and network, whatever the number of rows. Few rows are
+    put together, so that a partition takes at least `least_steps` mini-batches an epoch.
     """
     spark = rows.sparkSession
     held = rows.where(F.col(split).isin("train", "val")).dropna(subset=sensors).select((F.col(split) == "train").alias("_train"), *[F.col(s).cast("double") for s in sensors]).persist()
+    few = max(held.count() // (least_steps * batch), 1)
+    passed = held.coalesce(few) if few < held.rdd.getNumPartitions() else held
     adams = [Adam(n) for n in nets]
     progress = [Progress(n, r, patience) for n, r in zip(nets, rates, strict=True)]
     losses: list[float] = [math.nan] * len(nets)
@@ -438,7 +441,7 @@ def fit_networks(rows: DataFrame, sensors: list[str], nets: list[Network], rates
                     kinds = (pa.int32(), pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.int64(), pa.list_(pa.float64()))
                     yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["i", "n", "loss", "n_val", "val_loss", "step", "state"])
 
-            got = held.mapInArrow(part, schema).collect()
+            got = passed.mapInArrow(part, schema).collect()
             shared.unpersist()
             for i in list(live):
                 mine = [r for r in got if r.i == i]
