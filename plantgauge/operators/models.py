@@ -358,6 +358,158 @@ class Adam:
         return losses
 
 
+class Stack:
+    """Networks of equal hidden widths with their optimisers, trained side by side on the same mini-batches.
+
+    Arrays are (network, width, row), so one NumPy call does a layer of all networks. A layer's weights have the bias as
+    their last column, and inputs a last row of ones. Narrower codes are filled up with zeros, which stay zeros. The mean
+    that a layer norm takes off is taken off the weights, and off their gradients, instead of each row's values.
+    """
+
+    def __init__(self, nets: list[Network], adams: list[Adam], rates: list[float]):
+        self.nets, self.adams, self.step = nets, adams, adams[0].step
+        self.linear_after = nets[0].linear_after
+        self.shapes = [(len(nets), max(n.w[i].shape[1] for n in nets), max(n.w[i].shape[0] for n in nets) + 1) for i in range(len(nets[0].w))]
+        self.ends = np.cumsum([0, *map(math.prod, self.shapes)])
+        self.p, self.m, self.v, self.g, self.rate = (np.zeros(self.ends[-1]) for _ in range(5))
+        self.w, self.gw = self.layers(self.p), self.layers(self.g)
+        for mine, other in self.pairs():
+            mine[...] = other
+        for r in self.layers(self.rate):
+            r[...] = np.reshape(rates, (-1, 1, 1))
+        self.dropping = np.flatnonzero([n.dropout for n in nets])
+        share = np.array([nets[i].dropout for i in self.dropping]).reshape(-1, 1, 1)
+        self.dropped, self.kept = np.round(share * 2**32).astype(np.uint32), 1 / (1 - share)
+        self.rooms: dict = {}
+
+    @staticmethod
+    def of(nets: list[tuple[int, Network, Adam, float]]) -> list[tuple[list[int], Stack]]:
+        """Stacks of the networks with their numbers."""
+        alike: dict = {}
+        for one in nets:
+            widths = tuple(len(b) for i, b in enumerate(one[1].b) if i not in one[1].linear_after)
+            alike.setdefault((widths, one[2].step), []).append(one)
+        return [([i for i, *_ in some], Stack(*[list(x) for x in list(zip(*some, strict=True))[1:]])) for some in alike.values()]
+
+    def layers(self, flat: np.ndarray) -> list[np.ndarray]:
+        return [flat[a:b].reshape(s) for a, b, s in zip(self.ends, self.ends[1:], self.shapes, strict=False)]
+
+    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Each array of the networks and optimisers, behind the part of the stack that stands for it."""
+        for flat, own in ((self.p, [(*n.w, *n.b) for n in self.nets]), (self.m, [a.m for a in self.adams]), (self.v, [a.v for a in self.adams])):
+            for i, layer in enumerate(self.layers(flat)):
+                for k, arrays in enumerate(own):
+                    w, b = arrays[i], arrays[len(self.shapes) + i]
+                    yield layer[k, : w.shape[1], : w.shape[0]], w.T
+                    yield layer[k, : len(b), -1], b
+
+    def hand_back(self) -> None:
+        """Writes weights and optimisers' states into the networks and optimisers."""
+        for mine, other in self.pairs():
+            other[...] = mine
+        for a in self.adams:
+            a.step = self.step
+
+    def room(self, name: str, i: int, width: int, rows: int) -> np.ndarray:
+        """(network, width, row) memory that is used again by each mini-batch."""
+        size = len(self.nets) * width * rows
+        if len(self.rooms.get((name, i), ())) < size:
+            self.rooms[name, i] = np.empty(size)
+        return self.rooms[name, i][:size].reshape(len(self.nets), width, rows)
+
+    def forward(self, x: np.ndarray, rng: np.random.Generator | None = None) -> tuple[np.ndarray, list]:
+        """x: (sensor, row), and a last row of ones. Drops out if there is a rng."""
+        rows, tape, last = x.shape[1], [], len(self.w) - 1
+        for i, w in enumerate(self.w):
+            wide = w.shape[1]
+            act = self.room("act", i, wide + (i < last), rows)
+            if i < last:
+                act[:, -1] = 1
+            h = act[:, :wide] if i in self.linear_after else self.room("norm", i, wide, rows)
+            if i not in self.linear_after:
+                w = w - w.mean(1, keepdims=True)
+            if i:
+                np.matmul(w, x, out=h)
+            else:
+                h[...] = (w.reshape(-1, len(x)) @ x).reshape(h.shape)
+            if i in self.linear_after:
+                tape.append((x, w, None, None, None))
+            else:
+                inv = np.add.reduce(np.multiply(h, h, out=self.room("work", i, wide, rows)), 1, keepdims=True)
+                inv /= wide
+                inv += 1e-5
+                np.sqrt(inv, out=inv)
+                np.reciprocal(inv, out=inv)
+                h *= inv
+                a = np.maximum(h, 0, out=act[:, :wide])
+                if rng is not None and len(self.dropping):
+                    size = len(self.dropping) * wide * rows
+                    drawn = rng.bit_generator.random_raw(size // 2 + 1).view(np.uint32)[:size].reshape(-1, wide, rows)
+                    keep = (drawn >= self.dropped) * self.kept
+                    for k, j in enumerate(self.dropping):
+                        a[j] *= keep[k]
+                tape.append((x, w, h, inv, a))
+            x = act
+        return x, tape
+
+    def off(self, x: np.ndarray, rng: np.random.Generator | None = None) -> tuple[np.ndarray, np.ndarray, list]:
+        """Each network's mean squared error, the errors, and what the way back needs."""
+        y, tape = self.forward(x, rng)
+        y -= x[:-1]
+        flat = y.reshape(len(self.nets), -1)
+        return np.einsum("ij,ij->i", flat, flat) / flat.shape[1], y, tape
+
+    def gradients(self, x: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+        loss, g, tape = self.off(x, rng)
+        for i in range(len(tape) - 1, -1, -1):
+            inp, w, norm, inv, a = tape[i]
+            if norm is not None:
+                g *= a > 0
+                for k, j in enumerate(self.dropping):
+                    g[j] *= self.kept[k, 0, 0]
+                along = np.multiply(g, norm, out=self.room("work", i, *g.shape[1:]))
+                np.multiply(norm, np.add.reduce(along, 1, keepdims=True) / g.shape[1], out=along)
+                g -= along
+                g *= inv
+            if i:
+                np.matmul(g, inp.transpose(0, 2, 1), out=self.gw[i])
+            else:
+                self.gw[0][...] = (g.reshape(-1, g.shape[2]) @ inp.T).reshape(self.shapes[0])
+            if norm is not None:
+                self.gw[i] -= self.gw[i].mean(1, keepdims=True)
+            if i:
+                g = np.matmul(w[:, :, :-1].transpose(0, 2, 1), g, out=self.room("back", i, w.shape[2] - 1, g.shape[2]))
+        self.g *= 2 / ((len(x) - 1) * x.shape[1])
+        return loss
+
+    def epoch(self, x: np.ndarray, batch: int, decay: float, rng: np.random.Generator) -> np.ndarray:
+        """As `Adam.epoch`, of rows as (sensor, row): the mean of the losses before each step, per network."""
+        x, losses = np.vstack([x, np.ones(x.shape[1])])[:, rng.permutation(x.shape[1])], []
+        p, m, v, g = self.p, self.m, self.v, self.g
+        for at in range(0, x.shape[1], batch):
+            losses.append(self.gradients(x[:, at : at + batch], rng))
+            self.step += 1
+            g += decay * p
+            m *= 0.9
+            m += 0.1 * g
+            v *= 0.999
+            g *= g
+            g *= 0.001
+            v += g
+            np.sqrt(v, out=g)
+            g /= math.sqrt(1 - 0.999**self.step)
+            g += 1e-8
+            np.divide(m, g, out=g)
+            g *= self.rate / (1 - 0.9**self.step)
+            p -= g
+        return np.mean(losses, axis=0)
+
+    def loss(self, x: np.ndarray, batch: int = 256) -> np.ndarray:
+        """Each network's mean squared error of rows as (sensor, row)."""
+        x = np.vstack([x, np.ones(x.shape[1])])
+        return sum(self.off(x[:, at : at + batch])[0] * min(batch, x.shape[1] - at) for at in range(0, x.shape[1], batch)) / x.shape[1]
+
+
 class Progress:
     """Early stop, halved rate on a plateau, and the best weights so far of one network in training."""
 
@@ -402,8 +554,30 @@ def fit_networks(rows: DataFrame, sensors: list[str], nets: list[Network], rates
     put together, so that a partition takes at least `least_steps` mini-batches an epoch.
     """
     spark = rows.sparkSession
-    held = rows.where(F.col(split).isin("train", "val")).dropna(subset=sensors).select((F.col(split) == "train").alias("_train"), *[F.col(s).cast("double") for s in sensors]).persist()
-    few = max(held.count() // (least_steps * batch), 1)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                train = b.column(0).to_numpy(zero_copy_only=False)
+                x = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns[1:]])
+                yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64()), *[pa.array([x[:, m].tobytes()], pa.binary()) for m in (train, ~train)]], names=["n", "train", "val"])
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Training and validation rows, as (sensor, row), of packs put together up to `least_steps` mini-batches."""
+        some: list[list[np.ndarray]] = [[], []]
+        for b in batches:
+            for r in range(b.num_rows):
+                for of, c in zip(some, b.columns[1:], strict=True):
+                    of.append(np.frombuffer(c[r].as_buffer()).reshape(len(sensors), -1))
+                if sum(x.shape[1] for of in some for x in of) >= least_steps * batch:
+                    yield np.hstack(some[0]), np.hstack(some[1])
+                    some = [[], []]
+        if some[0]:
+            yield np.hstack(some[0]), np.hstack(some[1])
+
+    chosen = rows.where(F.col(split).isin("train", "val")).dropna(subset=sensors).select((F.col(split) == "train").alias("_train"), *[F.col(s).cast("double") for s in sensors])
+    held = chosen.mapInArrow(pack, "n long, train binary, val binary").persist()
+    few = max((held.agg(F.sum("n")).first()[0] or 0) // (least_steps * batch), 1)
     passed = held.coalesce(few) if few < held.rdd.getNumPartitions() else held
     adams = [Adam(n) for n in nets]
     progress = [Progress(n, r, patience) for n, r in zip(nets, rates, strict=True)]
@@ -418,23 +592,22 @@ def fit_networks(rows: DataFrame, sensors: list[str], nets: list[Network], rates
                 from pyspark import TaskContext
 
                 rng = np.random.default_rng((seed, epoch, TaskContext.get().partitionId()))
-                before = shared.value
-                work = copy.deepcopy(before)
+                work = copy.deepcopy(shared.value)
                 told = {i: [0, 0.0, 0, 0.0] for i, *_ in work}
-                for b in batches:
-                    if not b.num_rows:
-                        continue
-                    train = b.column(0).to_numpy(zero_copy_only=False)
-                    x = np.stack([c.to_numpy(zero_copy_only=False) for c in b.columns[1:]], 1)
-                    for (i, net, adam, rate), (_, old, *_) in zip(work, before, strict=True):
-                        t = told[i]
-                        if (~train).any():
-                            t[2] += int((~train).sum())
-                            t[3] += old.loss(x[~train]) * int((~train).sum())
-                        if train.any() and epoch < epochs:
-                            net.rng = rng
-                            t[0] += int(train.sum())
-                            t[1] += float(np.mean(adam.epoch(net, x[train], batch, rate, decay, rng))) * int(train.sum())
+                stacks = Stack.of(work)
+                before = Stack.of(work)
+                for train, val in together(batches):
+                    for (own, stack), (_, old) in zip(stacks, before, strict=True):
+                        if val.size:
+                            for i, x in zip(own, old.loss(val), strict=True):
+                                told[i][2] += val.shape[1]
+                                told[i][3] += x * val.shape[1]
+                        if train.size and epoch < epochs:
+                            for i, x in zip(own, stack.epoch(train, batch, decay, rng), strict=True):
+                                told[i][0] += train.shape[1]
+                                told[i][1] += x * train.shape[1]
+                for _, stack in stacks:
+                    stack.hand_back()
                 out = [(i, *told[i], adam.step, np.concatenate([p.ravel() for p in (*net.w, *net.b, *adam.m, *adam.v)])) for i, net, adam, _ in work if told[i][0] or told[i][2]]
                 if out:
                     columns = zip(*out, strict=True)

@@ -1,6 +1,7 @@
 """Windows, alerts, limits, event joins, metrics, drift, models and functions on small inputs with known results."""
 
 import math
+import time
 from datetime import UTC, datetime, timedelta
 
 import numpy as np
@@ -332,6 +333,40 @@ def test_training_without_rows_and_early_stop(spark):
     assert len(history) == 5  # nothing gets better after the first
 
 
+def test_networks_side_by_side_train_as_each_alone_does_and_faster():
+    x = np.random.default_rng(16).normal(size=(4000, 10))
+    specs = [(a, w, r) for a, w in ((2, None), (3, None), (4, None), (3, [16, 8]), (4, [16, 8])) for r in (1e-3, 3e-3, 1e-2)]
+    rates = [r for *_, r in specs]
+    alone, common = ([models.Network(10, a, w) for a, w, _ in specs] for _ in range(2))
+    adams, others = ([models.Adam(n) for n in nets] for nets in (alone, common))
+    stacks = models.Stack.of(list(zip(range(len(specs)), common, others, rates, strict=True)))
+    assert [i for i, _ in stacks] == [list(range(9)), list(range(9, 15))]  # by hidden widths, whatever the code's
+    for e in range(2):  # the last of its mini-batches is smaller
+        began = time.process_time()
+        losses = [v for _, s in stacks for v in s.epoch(x.T, 256, 1e-5, np.random.default_rng(e))]
+        took, began = time.process_time() - began, time.process_time()
+        own = [np.mean(a.epoch(n, x, 256, r, 1e-5, np.random.default_rng(e))) for n, a, r in zip(alone, adams, rates, strict=True)]
+        assert took < (time.process_time() - began) / 2
+        assert losses == pytest.approx(own)
+    for _, s in stacks:
+        s.hand_back()
+    for n, a, m, b in zip(alone, adams, common, others, strict=True):
+        assert a.step == b.step == 32 and all(np.allclose(p, q) for p, q in zip((*n.w, *n.b, *a.m, *a.v), (*m.w, *m.b, *b.m, *b.v), strict=True))
+    assert [v for _, s in stacks for v in s.loss(x.T)] == pytest.approx([n.loss(x) for n in alone])
+
+
+def test_networks_side_by_side_drop_out_in_training_only():
+    x = np.vstack([np.random.default_rng(17).normal(size=(10, 5000)), np.ones(5000)])
+    nets = [models.Network(10, 4, dropout=d) for d in (0.0, 0.3, 0.1)]
+    stack = models.Stack(nets, [models.Adam(n) for n in nets], [1e-3] * 3)
+    whole = [a.copy() for *_, a in stack.forward(x)[1] if a is not None]
+    for a, b in zip([a for *_, a in stack.forward(x, np.random.default_rng(1))[1] if a is not None][:1], whole, strict=False):
+        on = b > 0
+        assert [round(1 - (a[i][on[i]] > 0).mean(), 1) for i in range(3)] == [0.0, 0.3, 0.1]
+        assert all(np.allclose(a[i][a[i] > 0], (b[i] / (1 - d))[a[i] > 0]) for i, d in enumerate((0.0, 0.3, 0.1)))
+    assert np.allclose(stack.loss(x[:-1]), [n.loss(x[:-1].T) for n in nets])
+
+
 def test_grid_of_networks_over_all_rows(spark):
     _, df = trained_rows(spark)
     grid = models.grid_search(df, ["a", "b", "c", "d"], (1, 2), (1e-3, 2e-2), (0.0,), epochs=15, batch=32).collect()
