@@ -23,11 +23,12 @@ def compress(z: Column, scale: float | None) -> Column:
     return z if scale is None else scale * F.asinh(z / scale)
 
 
-def apply_scaling(rows: DataFrame, scaler: DataFrame, sensors: list[str], tail: float | None = None, key: str = KEY) -> DataFrame:
+def apply_scaling(rows: DataFrame, scaler: DataFrame, sensors: list[str], tail: float | None = None, key: str = KEY, send: bool = False) -> DataFrame:
     """The wide rows with every sensor scaled. The scaler (one row per key and sensor) is pivoted to one row per key,
-    so the rows are joined once, on the key."""
+    so the rows are joined once, on the key. With `send` that one row per key goes to all executors, and the rows stay
+    where they are instead of being put together by key."""
     wide = scaler.groupBy(F.col(key).alias("_key")).agg(*[F.max(F.when(F.col("sensor") == s, F.struct("center", "scale"))).alias(f"_{s}") for s in sensors])
-    joined = rows.join(wide, F.col(key).eqNullSafe(F.col("_key")), "left")
+    joined = rows.join(F.broadcast(wide) if send else wide, F.col(key).eqNullSafe(F.col("_key")), "left")
     return joined.withColumns({s: compress((F.col(s) - F.col(f"_{s}.center")) / F.col(f"_{s}.scale"), tail) for s in sensors}).drop("_key", *[f"_{s}" for s in sensors])
 
 

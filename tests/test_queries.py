@@ -60,3 +60,16 @@ def test_models_are_fitted_whole(spark, monkeypatch):
     plans.component_regimes(spark, SF)
     assert starts == [10, 10]
     assert models.isolation_outliers.__defaults__[1] == 200
+
+
+def test_rows_of_the_grid_stay_where_they_are(spark, monkeypatch):
+    from plantgauge.operators import models
+    from plantgauge.plans import models as plans
+    from plantgauge.plans.base import EQ, SENSORS
+
+    monkeypatch.setattr(models, "grid_search", lambda rows, *a, **kw: rows)
+    got, expected = plans.network_grid(spark, SF), plans.scaled_rows(spark, SF)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert [x for x in plan.splitlines() if "Join LeftOuter" in x and "_key" in x and "rightHint=(strategy=broadcast)" in x], plan
+    sides = [plans.rounded(df.select(EQ, "window_id", "row_in_window", *SENSORS)) for df in (got, expected)]
+    assert sides[0].count() > 0 and sides[0].exceptAll(sides[1]).isEmpty() and sides[1].exceptAll(sides[0]).isEmpty()
